@@ -18,9 +18,9 @@ def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tidelog.llm.substring import remove_by_automata
+    from tidelog.llm.substring import remove_repeats
 
-    return remove_by_automata(table(spark, sf_dir, "documents")).drop("kept_text")
+    return remove_repeats(table(spark, sf_dir, "documents")).drop("kept_text")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

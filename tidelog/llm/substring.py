@@ -3,6 +3,22 @@
 A window is ``size`` consecutive words of one document.  A word goes when some
 window over it also starts in a document with a smaller id.
 
+``remove_repeats`` is what the query runs.  It finds repeated windows by routed
+hashes, since broadcasting automata of all documents to all documents costs the
+square of the table (see the README for figures):
+
+1. Each window of 13 words is known by the smallest of the hashes of the runs of
+   five words in it.  About one run in five is some window's smallest, and equal
+   windows have equal ones, so only these values travel to find which of them
+   more than one document has.
+2. Documents with a shared value take their windows under it to the window's
+   128-bit key, where those that a smaller document has are found.
+3. Each document loses the words under the windows that came back to it.
+
+In steps 1 and 2 a worker first settles what its own documents can settle among
+themselves and sends a value on once per batch, so that a passage in a third of
+all documents sends a row a batch, not a row a document.
+
 ``remove_by_automata`` is the method by the book: documents are dealt to
 reference shards of a bounded number of words, each shard becomes a suffix
 automaton whose states know the smallest document they end in, the automaton is
@@ -12,16 +28,19 @@ broadcast, and all documents stream past it.
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidelog.llm.kernels import each_slice
+from tidelog.llm.kernels import PLACE, U64, Words, each_slice, mix
 
-WINDOW = 13
+WINDOW, RUN = 13, 5
+#: Bytes of text whose values a worker settles together before it sends them on.
+TOGETHER = 16 << 20
 #: Words in one reference shard: the proven bound of what is broadcast at a time.
 SHARD_WORDS = 200_000
 
@@ -163,3 +182,175 @@ def remove_by_automata(docs: DataFrame, size: int = WINDOW, shard_words: int = S
         places = places.union(docs.mapInArrow(_matched(sent, size), "doc_id long, places array<int>"))
     places = places.groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"))
     return docs.join(places, "doc_id", "left").select("doc_id", "text", "places").mapInArrow(_without(size), KEPT)
+
+
+def _sampled(words: Words, size: int, run: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of every window: the word it begins at, the smallest hash of a run of words in it, its own hash."""
+    at, whole = words.windows(size)
+    if not len(at):
+        return at, whole, whole
+    total = np.zeros(len(words.hash) - run + 1, U64)
+    for j in range(run):
+        total += words.hash[j : j + len(total)] * PLACE[20 + j]
+    low, width = mix(total, 99), 1
+    while width < size - run + 1:  # minima over 1, 2, 4 ... runs
+        step = min(width, size - run + 1 - width)
+        low = np.minimum(low[:-step], low[step:])
+        width += step
+    return at, low[at], whole
+
+
+def _together(batches: Iterator[pa.RecordBatch], size: int, run: int) -> Iterator[list[tuple[np.ndarray, ...]]]:
+    """Windows of the documents of about ``TOGETHER`` bytes: (id, smallest hash, own hash) and the row number in the batch."""
+    held: list[tuple[np.ndarray, ...]] = []
+    room = TOGETHER
+    for number, batch in enumerate(batches):
+        ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        for a, _, chars, words in each_slice(batch.column(1)):
+            at, low, whole = _sampled(words, size, run)
+            row = np.searchsorted(words.first, at, "right") - 1 + a
+            held.append((ids[row], low, whole, row + (number << 32), batch))
+            room -= len(chars)
+            if room <= 0:
+                yield held
+                held, room = [], TOGETHER
+    if held:
+        yield held
+
+
+def _first_of(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order that sorts by ``keys`` (the last one first, as lexsort does), and where the values of all but the first key change."""
+    order = np.lexsort(keys)
+    new = np.ones(len(order), bool)
+    if len(order):
+        new[1:] = np.logical_or.reduce([k[order][1:] != k[order][:-1] for k in keys[1:]])
+    return order, new
+
+
+def _values(size: int, run: int):
+    """Rows (told, k, v) of one exchange.  Not told: k is a value to be judged, v its document, null where this worker
+    saw it in several; told: k is one of those documents, v the value."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held in _together(batches, size, run):
+            parts = []
+            for ids, low, *_ in held:
+                turn = np.ones(len(low), bool)
+                turn[1:] = (low[1:] != low[:-1]) | (ids[1:] != ids[:-1])
+                parts.append((ids[turn], low[turn]))
+            ids, low = (np.concatenate([p[i] for p in parts]) for i in range(2))
+            order, new = _first_of(ids, low)
+            ids, low = ids[order], low[order]
+            group = np.cumsum(new) - 1
+            first = np.flatnonzero(new)
+            last = np.append(first[1:], len(low)) - 1
+            several = ids[first] != ids[last]
+            yield pa.RecordBatch.from_arrays([pa.array(low[first].view(np.int64)), pa.array(ids[first], mask=several), pa.array(np.zeros(len(first), bool))], names=["k", "v", "told"])
+            fresh = np.ones(len(low), bool)
+            fresh[1:] = new[1:] | (ids[1:] != ids[:-1])
+            told = several[group] & fresh if len(low) else fresh
+            yield pa.RecordBatch.from_arrays([pa.array(ids[told]), pa.array(low[told].view(np.int64)), pa.array(np.ones(int(told.sum()), bool))], names=["k", "v", "told"])
+
+    return work
+
+
+def _under(size: int, run: int):
+    """Rows (gone, k, k2, v) for windows under a shared value.  Of equal windows met together only the smallest
+    document's is sent to be judged (k, k2: the window's key, v: the document); the others are gone already (k: the
+    document, v: the window)."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held in _together(batches, size, run):
+            parts = []
+            for batch, rows in itertools.groupby(held, key=lambda h: h[4]):
+                rows = list(rows)
+                ids, low, whole, row = (np.concatenate([r[i] for r in rows]) for i in range(4))
+                shared = batch.column(2)
+                off, value = shared.offsets.to_numpy(), shared.values.to_numpy().view(U64)
+                owner = np.repeat(np.arange(len(shared)), np.diff(off))
+                value = value[off[0] : off[-1]]
+                row = row & 0xFFFFFFFF
+                mine, theirs = mix(low) ^ row.astype(U64) * PLACE[60], mix(value) ^ owner.astype(U64) * PLACE[60]
+                known = np.isin(mine, theirs)
+                parts.append((ids[known], whole[known], low[known]))
+            ids, whole, low = (np.concatenate([p[i] for p in parts]) for i in range(3))
+            order, new = _first_of(ids, whole, low)
+            ids, whole, low = ids[order], whole[order], low[order]
+            first = np.flatnonzero(new)
+            lowest = ids[first][np.cumsum(new) - 1] if len(first) else ids
+            fresh = np.ones(len(ids), bool)
+            fresh[1:] = new[1:] | (ids[1:] != ids[:-1])
+            gone = ids > lowest
+            use = (new | gone) & fresh
+            ids, whole, low, gone = ids[use], whole[use].view(np.int64), low[use].view(np.int64), gone[use]
+            yield pa.RecordBatch.from_arrays([pa.array(gone), pa.array(np.where(gone, ids, low)), pa.array(np.where(gone, 0, whole)), pa.array(np.where(gone, whole, ids))], names=["gone", "k", "k2", "v"])
+
+    return work
+
+
+def _kept(size: int):
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, lists = batch.column(1), batch.column(2)
+            for a, b, chars, words in each_slice(texts):
+                count = np.diff(words.first)
+                gone = np.zeros(len(words.hash) + 1, np.int64)
+                if lists.null_count < len(lists):
+                    at, whole = words.windows(size)
+                    row = np.searchsorted(words.first, at, "right") - 1
+                    for i in range(a, b):
+                        if lists[i].is_valid:
+                            x, y = np.searchsorted(row, [i - a, i - a + 1])
+                            hit = at[x:y][np.isin(whole[x:y], lists[i].values.to_numpy().view(U64))]
+                            np.add.at(gone, hit, 1)
+                            np.add.at(gone, hit + size, -1)
+                lost = np.cumsum(gone)[:-1] > 0
+                total = np.concatenate([[0], np.cumsum(lost)])
+                removed = total[words.first[1:]] - total[words.first[:-1]]
+                kept = []
+                blob, start, end = chars.tobytes(), words.start, words.end
+                for i in range(b - a):
+                    f, g = words.first[i], words.first[i + 1]
+                    if f == g:
+                        kept.append(b"")
+                        continue
+                    own = blob[start[f] : end[g - 1]].split()
+                    if removed[i]:
+                        own = list(itertools.compress(own, (~lost[f:g]).tolist()))
+                    kept.append(b" ".join(own))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(a, b - a), pa.array(count.astype(np.int64)), pa.array(removed.astype(np.int64)), pa.array([hashlib.sha256(k).hexdigest() for k in kept]), pa.array(kept, pa.binary()).cast(pa.string())],
+                    names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"],
+                )
+
+    return work
+
+
+def repeated_windows(docs: DataFrame, size: int = WINDOW, run: int = RUN) -> DataFrame:
+    """(doc, windows): for each document with any, the hashes of its windows that a document with a smaller id has too.
+
+    ``docs`` has doc_id (long) and text.  A null id neither loses words nor makes others lose them.
+    """
+    docs = docs.where("doc_id is not null")
+    values = docs.mapInArrow(_values(size, run), "k long, v long, told boolean")
+    judged = values.withColumn("n", F.count("*").over(Window.partitionBy("told", "k"))).where("v is not null and (told or n > 1)")
+    judged = judged.select(F.expr("if(told, k, v)").alias("doc"), F.expr("if(told, v, k)").alias("value"))
+    lists = judged.groupBy("doc").agg(F.collect_list("value").alias("shared"))
+    under = docs.join(lists, F.col("doc_id") == F.col("doc")).select("doc_id", "text", "shared").mapInArrow(_under(size, run), "gone boolean, k long, k2 long, v long")
+    under = under.withColumn("lowest", F.min("v").over(Window.partitionBy("gone", "k", "k2"))).where("gone or v > lowest")
+    under = under.select(F.expr("if(gone, k, v)").alias("doc"), F.expr("if(gone, v, k2)").alias("window"))
+    return under.groupBy("doc").agg(F.collect_list("window").alias("windows"))
+
+
+def remove_repeats(docs: DataFrame, size: int = WINDOW, run: int = RUN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_words, n_removed, kept_sha256, kept_text) for each row of ``docs``.
+
+    ``kept_text`` has the kept words joined by one space.  A null or empty text
+    has no words and gives an empty one.  Rows that share an id count as one
+    document: they don't make each other lose words, but identical rows lose the
+    same ones.  An empty table gives an empty result.
+    """
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    found = repeated_windows(docs, size, run)
+    joined = docs.join(found, F.col("doc_id") == F.col("doc"), "left").select("doc_id", "text", "windows")
+    return joined.mapInArrow(_kept(size), KEPT)
