@@ -29,6 +29,15 @@ def cut(df: DataFrame, spark: SparkSession | None = None) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def keyed_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id (long) and text (string) of a table.  Columns that fit already stay as they are, without an alias, so that
+    a plan that uses the table twice can share one exchange."""
+    kind = dict(docs.dtypes)
+    one = F.col(id_col) if (id_col, kind[id_col]) == ("doc_id", "bigint") else F.col(id_col).cast("long").alias("doc_id")
+    two = F.col(text_col) if (text_col, kind[text_col]) == ("text", "string") else F.col(text_col).cast("string").alias("text")
+    return docs.select(one, two)
+
+
 def fresh(name: str) -> str:
     return f"__{name}_{uuid.uuid4().hex[:8]}"
 

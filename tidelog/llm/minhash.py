@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from pyspark.sql import types as T
 
-from tidelog.llm.common import components, cut
+from tidelog.llm.common import components, cut, keyed_texts
 from tidelog.llm.kernels import PLACE, U64, Words, each_slice, mix
 
 SHINGLE, BANDS, ROWS = 5, 20, 5
@@ -274,7 +274,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = SHINGLE,
     table gives an empty result.
     """
     spark = docs.sparkSession
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    docs = keyed_texts(docs, id_col, text_col)
     signed = cut(docs.mapInArrow(_signed(bands, rows, shingle), "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>, bytes binary"))
     filled = signed.where("n_shingles > 0 and doc_id is not null")
     classes = cut(filled.groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("bytes").alias("bytes")))

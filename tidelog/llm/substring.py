@@ -12,7 +12,7 @@ square of the table (see the README for figures):
    windows have equal ones, so only these values travel to find which of them
    more than one document has.
 2. Documents with a shared value take their windows under it to the window's
-   128-bit key, where those that a smaller document has are found.
+   96-bit key, where those that a smaller document has are found.
 3. Each document loses the words under the windows that came back to it.
 
 In steps 1 and 2 a worker first settles what its own documents can settle among
@@ -36,6 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidelog.llm.common import keyed_texts
 from tidelog.llm.kernels import PLACE, U64, Words, each_slice, mix
 
 WINDOW, RUN = 13, 5
@@ -282,8 +283,8 @@ def _under(size: int, run: int):
             fresh[1:] = new[1:] | (ids[1:] != ids[:-1])
             gone = ids > lowest
             use = (new | gone) & fresh
-            ids, whole, low, gone = ids[use], whole[use].view(np.int64), low[use].view(np.int64), gone[use]
-            yield pa.RecordBatch.from_arrays([pa.array(gone), pa.array(np.where(gone, ids, low)), pa.array(np.where(gone, 0, whole)), pa.array(np.where(gone, whole, ids))], names=["gone", "k", "k2", "v"])
+            ids, whole, low, gone = ids[use], whole[use].view(np.int64), (low[use] & U64(0xFFFFFFFF)).astype(np.int64), gone[use]
+            yield pa.RecordBatch.from_arrays([pa.array(gone), pa.array(np.where(gone, ids, whole)), pa.array(np.where(gone, 0, low)), pa.array(np.where(gone, whole, ids))], names=["gone", "k", "k2", "v"])
 
     return work
 
@@ -338,7 +339,7 @@ def repeated_windows(docs: DataFrame, size: int = WINDOW, run: int = RUN) -> Dat
     lists = judged.groupBy("doc").agg(F.collect_list("value").alias("shared"))
     under = docs.join(lists, F.col("doc_id") == F.col("doc")).select("doc_id", "text", "shared").mapInArrow(_under(size, run), "gone boolean, k long, k2 long, v long")
     under = under.withColumn("lowest", F.min("v").over(Window.partitionBy("gone", "k", "k2"))).where("gone or v > lowest")
-    under = under.select(F.expr("if(gone, k, v)").alias("doc"), F.expr("if(gone, v, k2)").alias("window"))
+    under = under.select(F.expr("if(gone, k, v)").alias("doc"), F.expr("if(gone, v, k)").alias("window"))
     return under.groupBy("doc").agg(F.collect_list("window").alias("windows"))
 
 
@@ -350,7 +351,8 @@ def remove_repeats(docs: DataFrame, size: int = WINDOW, run: int = RUN, id_col:
     document: they don't make each other lose words, but identical rows lose the
     same ones.  An empty table gives an empty result.
     """
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    found = repeated_windows(docs, size, run)
-    joined = docs.join(found, F.col("doc_id") == F.col("doc"), "left").select("doc_id", "text", "windows")
-    return joined.mapInArrow(_kept(size), KEPT)
+    docs = keyed_texts(docs, id_col, text_col)
+    known = docs.where("doc_id is not null")  # the same exchange of texts serves both joins
+    joined = known.join(repeated_windows(known, size, run), F.col("doc_id") == F.col("doc"), "left").select("doc_id", "text", "windows")
+    rest = docs.where("doc_id is null").select("doc_id", "text", F.lit(None).cast("array<bigint>").alias("windows"))
+    return joined.union(rest).mapInArrow(_kept(size), KEPT)
