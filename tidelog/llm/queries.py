@@ -11,6 +11,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_hash_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidelog.llm.sharding import shard_documents
+
+    return shard_documents(table(spark, sf_dir, "documents"))
+
+
+def op3_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidelog.llm.quality import judge
+
+    return judge(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidelog.llm.packing import pack_documents
 
