@@ -19,6 +19,8 @@ U64 = np.uint64
 BASE = 0x9E3779B97F4A7C15 | 1
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: Every ASCII sign but letters and digits: words without their punctuation.
+PUNCTUATION = np.array([i < 128 and not chr(i).isalnum() for i in range(256)])
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 #: Odd multipliers that give each place of a window its own weight.
@@ -72,9 +74,9 @@ class Words:
     of each text (one more entry than texts).
     """
 
-    def __init__(self, off: np.ndarray, chars: np.ndarray, lower: bool = False):
+    def __init__(self, off: np.ndarray, chars: np.ndarray, lower: bool = False, blank: np.ndarray = SPACE):
         off = off - off[0]
-        space = SPACE[chars]
+        space = blank[chars]
         n = len(chars)
         if n:
             opens = np.empty(n, bool)
@@ -97,8 +99,15 @@ class Words:
         if n:
             np.cumsum(((LOWER[chars] if lower else chars).astype(U64) + U64(1)) * up[:n], out=total[1:])
         length = (self.end - self.start).astype(U64)
+        self._total, self._down = total, down
         self.hash = mix((total[self.end] - total[self.start]) * down[self.start] ^ length * PLACE[63])
 
+    def prefixes(self, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the words of more than ``length`` bytes, and hashes of their first ``length`` bytes."""
+        at = np.flatnonzero(self.end - self.start > length)
+        start = self.start[at]
+        return at, mix((self._total[start + length] - self._total[start]) * self._down[start], 500 + length)
+
     def windows(self, size: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of the words at which a window of ``size`` words of one text begins, and its 64-bit hash."""
         count = np.diff(self.first)
@@ -122,9 +131,9 @@ class Words:
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
 
 
-def each_slice(column: pa.Array, lower: bool = False) -> Iterator[tuple[int, int, np.ndarray, Words]]:
+def each_slice(column: pa.Array, lower: bool = False, blank: np.ndarray = SPACE) -> Iterator[tuple[int, int, np.ndarray, Words]]:
     """(first row, end row, bytes of the slice, its words) over a column."""
     off, chars = raw(column)
     for a, b in slices(off):
         part = chars[off[a] : off[b]]
-        yield a, b, part, Words(off[a : b + 1], part, lower)
+        yield a, b, part, Words(off[a : b + 1], part, lower, blank)
