@@ -11,6 +11,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Production reads its key from the cluster's secret store; the registered queries use this one.
+PII_KEY = "registered-queries"
+
+
+def op1_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidelog.llm.pii import pseudonymise
+
+    return pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
+
+
 def op2_hash_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidelog.llm.sharding import shard_documents
 
@@ -30,6 +40,12 @@ def op5_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, train(docs, table(spark, sf_dir, "labels")))
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidelog.llm.secrets import scan
+
+    return scan(table(spark, sf_dir, "documents"))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidelog.llm.packing import pack_documents
 
