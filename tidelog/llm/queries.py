@@ -58,6 +58,12 @@ def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_sentencepiece_wfst(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidelog.llm.sentencepiece_wfst import encode
+
+    return encode(table(spark, sf_dir, "documents"))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidelog.llm.substring import remove_repeats
 
