@@ -29,13 +29,26 @@ def cut(df: DataFrame, spark: SparkSession | None = None) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def keyed_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keyed_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> list[Column]:
     """doc_id (long) and text (string) of a table.  Columns that fit already stay as they are, without an alias, so that
     a plan that uses the table twice can share one exchange."""
     kind = dict(docs.dtypes)
     one = F.col(id_col) if (id_col, kind[id_col]) == ("doc_id", "bigint") else F.col(id_col).cast("long").alias("doc_id")
     two = F.col(text_col) if (text_col, kind[text_col]) == ("text", "string") else F.col(text_col).cast("string").alias("text")
-    return docs.select(one, two)
+    return [one, two]
+
+
+def keyed_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    return docs.select(*keyed_columns(docs, id_col, text_col))
+
+
+def written(df: DataFrame) -> DataFrame:
+    """Writes the rows as Parquet to a new folder beside the shared checkpoints and reads them from there."""
+    spark = df.sparkSession
+    has_checkpoint_dir(spark)
+    place = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{uuid.uuid4().hex}"
+    df.write.parquet(place)
+    return spark.read.parquet(place)
 
 
 def fresh(name: str) -> str:

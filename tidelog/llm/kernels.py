@@ -9,7 +9,7 @@ stay small whatever the size of an Arrow batch.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -137,3 +137,25 @@ def each_slice(column: pa.Array, lower: bool = False, blank: np.ndarray = SPACE)
     for a, b in slices(off):
         part = chars[off[a] : off[b]]
         yield a, b, part, Words(off[a : b + 1], part, lower, blank)
+
+
+def runs(work: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], keys: int = 4):
+    """Calls ``work(rows)`` for each run of rows of a sorted stream that are equal in the first ``keys`` columns (whole numbers).  A run has a bounded size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if rest is not None:
+                batch = pa.Table.from_batches([rest, batch]).combine_chunks().to_batches()[0]
+            held = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(keys)])
+            at = 0
+            for end in (np.flatnonzero((held[:, 1:] != held[:, :-1]).any(axis=0)) + 1).tolist():
+                yield from work(batch.slice(at, end - at))
+                at = end
+            rest = batch.slice(at)
+        if rest is not None:
+            yield from work(rest)
+
+    return run

@@ -28,11 +28,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-
 from pyspark.sql import types as T
 
 from tidelog.llm.common import components, cut, keyed_texts
-from tidelog.llm.kernels import PLACE, U64, Words, each_slice, mix
+from tidelog.llm.kernels import PLACE, U64, Words, each_slice, mix, runs
 
 SHINGLE, BANDS, ROWS = 5, 20, 5
 #: Members of a bucket that one block takes from each side, and columns of an incidence matrix held at a time.
@@ -174,29 +173,6 @@ def _confirmed(percent: int):
     return run
 
 
-def _blocks(work):
-    """Calls ``work(rows)`` for each run of rows with equal (band, key, bi, bj) of a sorted stream; a run has a bounded size."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            if rest is not None:
-                batch = pa.Table.from_batches([rest, batch]).combine_chunks().to_batches()[0]
-            keys = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(4)])
-            ends = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
-            at = 0
-            for end in ends.tolist():
-                yield from work(batch.slice(at, end - at))
-                at = end
-            rest = batch.slice(at)
-        if rest is not None:
-            yield from work(rest)
-
-    return run
-
-
 def _sides(rows: pa.RecordBatch) -> np.ndarray:
     """Which pairs of rows a block has to compare: not within one component, and each pair in one block only."""
     label = rows.column(5).to_numpy()
@@ -218,7 +194,7 @@ def _screened(places: int):
         if near.any():
             yield rows.select(range(7)).filter(pa.array(near))
 
-    return _blocks(work)
+    return runs(work)
 
 
 def _joined(percent: int):
@@ -261,7 +237,7 @@ def _joined(percent: int):
         if links:
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([x for _, x in links], pa.int64())], names=["a", "b"])
 
-    return _blocks(work)
+    return runs(work)
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -87,7 +87,7 @@ def encoder(path: str) -> _Chunks:
 
 
 def _tokenised(path: str, size: int):
-    """One row for each piece: (doc_id, piece, start, length, ids_crc32).  The shorter piece of a cut document is its last."""
+    """One row for each piece: (doc_id, piece, start, length, ids_crc32).  Of a cut document only the first piece may be shorter than ``size``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(path)
@@ -97,8 +97,10 @@ def _tokenised(path: str, size: int):
             row_of: list[int] = []
             for row, text in enumerate(batch.column(1)):
                 ids = coder.text(text.as_py() or "") + last
-                for piece, at in enumerate(range(0, len(ids), 4 * size)):
-                    part = ids[at : at + 4 * size]
+                head = len(ids) % (4 * size) or 4 * size
+                for piece, end in enumerate(range(head, len(ids) + 1, 4 * size)):
+                    at = max(0, end - 4 * size)
+                    part = ids[at:end]
                     rows.append((piece, at // 4, len(part) // 4, zlib.crc32(part)))
                     row_of.append(row)
             table = np.array(rows, np.int64).reshape(-1, 4)

@@ -20,6 +20,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 ROUNDS = 10
 KINDS = ("email", "iban", "ip", "date", "ssn", "phone", "card")
@@ -233,5 +234,5 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame
     secret = hashlib.sha256(key.encode()).digest()
     docs = docs.drop("pii_spans")
     docs = docs.withColumn(text_col, F.col(text_col).cast("string"))
-    schema = docs.schema.add("pii_spans", "string")
+    schema = T.StructType([*docs.schema.fields, T.StructField("pii_spans", T.StringType())])
     return docs.mapInArrow(_replaced(secret, docs.columns.index(text_col)), schema)

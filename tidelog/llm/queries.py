@@ -33,6 +33,12 @@ def op3_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidelog.llm.embeddings import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op5_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidelog.llm.toxicity import score, train
 
@@ -67,7 +73,7 @@ def op9_sentencepiece_wfst(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidelog.llm.substring import remove_repeats
 
-    return remove_repeats(table(spark, sf_dir, "documents")).drop("kept_text")
+    return remove_repeats(table(spark, sf_dir, "documents")).drop("left_text")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

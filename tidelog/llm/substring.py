@@ -33,10 +33,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import keyed_texts
+from tidelog.llm.common import keyed_columns
 from tidelog.llm.kernels import PLACE, U64, Words, each_slice, mix
 
 WINDOW, RUN = 13, 5
@@ -160,17 +161,17 @@ def _without(size: int):
                     gone[min(i + size, len(words))] -= 1
                 keep = np.cumsum(gone)[:-1] == 0
                 kept = b" ".join(w for w, k in zip(words, keep, strict=True) if k)
-                rows.append((len(words), int((~keep).sum()), hashlib.sha256(kept).hexdigest(), kept.decode()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.string(), pa.string()))]], names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"])
+                rows.append((len(words), int((~keep).sum()), hashlib.sha256(kept).hexdigest(), kept.decode() if not keep.all() else text))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.string(), pa.string()))]], names=["doc_id", "n_words", "n_removed", "kept_sha256", "left_text"])
 
     return run
 
 
-KEPT = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string"
+KEPT = "doc_id long, n_words long, n_removed long, kept_sha256 string, left_text string"
 
 
 def remove_by_automata(docs: DataFrame, size: int = WINDOW, shard_words: int = SHARD_WORDS) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept_sha256, kept_text) by broadcast suffix automata of reference shards."""
+    """(doc_id, n_words, n_removed, kept_sha256, left_text) by broadcast suffix automata of reference shards."""
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     total = docs.agg(F.sum(F.length("text"))).first()[0] or 0
@@ -319,9 +320,10 @@ def _kept(size: int):
                     if removed[i]:
                         own = list(itertools.compress(own, (~lost[f:g]).tolist()))
                     kept.append(b" ".join(own))
+                left = pc.if_else(pa.array(removed > 0), pa.array(kept, pa.binary()).cast(pa.string()), texts.slice(a, b - a))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), pa.array(count.astype(np.int64)), pa.array(removed.astype(np.int64)), pa.array([hashlib.sha256(k).hexdigest() for k in kept]), pa.array(kept, pa.binary()).cast(pa.string())],
-                    names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"],
+                    [batch.column(0).slice(a, b - a), pa.array(count.astype(np.int64)), pa.array(removed.astype(np.int64)), pa.array([hashlib.sha256(k).hexdigest() for k in kept]), left, *[c.slice(a, b - a) for c in batch.columns[3:]]],
+                    names=["doc_id", "n_words", "n_removed", "kept_sha256", "left_text", *batch.schema.names[3:]],
                 )
 
     return work
@@ -330,29 +332,35 @@ def _kept(size: int):
 def repeated_windows(docs: DataFrame, size: int = WINDOW, run: int = RUN) -> DataFrame:
     """(doc, windows): for each document with any, the hashes of its windows that a document with a smaller id has too.
 
-    ``docs`` has doc_id (long) and text.  A null id neither loses words nor makes others lose them.
+    ``docs`` has doc_id (long, not null) and text first; further columns travel along unread, so that a plan which
+    needs them later can use the same exchange.
     """
-    docs = docs.where("doc_id is not null")
-    values = docs.mapInArrow(_values(size, run), "k long, v long, told boolean")
+    values = docs.select("doc_id", "text").mapInArrow(_values(size, run), "k long, v long, told boolean")
     judged = values.withColumn("n", F.count("*").over(Window.partitionBy("told", "k"))).where("v is not null and (told or n > 1)")
     judged = judged.select(F.expr("if(told, k, v)").alias("doc"), F.expr("if(told, v, k)").alias("value"))
     lists = judged.groupBy("doc").agg(F.collect_list("value").alias("shared"))
-    under = docs.join(lists, F.col("doc_id") == F.col("doc")).select("doc_id", "text", "shared").mapInArrow(_under(size, run), "gone boolean, k long, k2 long, v long")
+    under = docs.join(lists, F.col("doc_id") == F.col("doc")).select("doc_id", "text", "shared", *docs.columns[2:]).mapInArrow(_under(size, run), "gone boolean, k long, k2 long, v long")
     under = under.withColumn("lowest", F.min("v").over(Window.partitionBy("gone", "k", "k2"))).where("gone or v > lowest")
     under = under.select(F.expr("if(gone, k, v)").alias("doc"), F.expr("if(gone, v, k)").alias("window"))
     return under.groupBy("doc").agg(F.collect_list("window").alias("windows"))
 
 
-def remove_repeats(docs: DataFrame, size: int = WINDOW, run: int = RUN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_words, n_removed, kept_sha256, kept_text) for each row of ``docs``.
+def remove_repeats(docs: DataFrame, size: int = WINDOW, run: int = RUN, id_col: str = "doc_id", text_col: str = "text", carry: list[str] = ()) -> DataFrame:
+    """(doc_id, n_words, n_removed, kept_sha256, left_text) and the columns in ``carry`` for each row of ``docs``.
 
-    ``kept_text`` has the kept words joined by one space.  A null or empty text
-    has no words and gives an empty one.  Rows that share an id count as one
-    document: they don't make each other lose words, but identical rows lose the
-    same ones.  An empty table gives an empty result.
+    ``left_text`` is the text as it was if it loses nothing, else its kept words
+    joined by one space; ``kept_sha256`` is that of the kept words so joined.  A
+    null or empty text has no words.  A row with a null id neither loses words
+    nor makes others lose them.  Rows that share an id count as one document:
+    they don't make each other lose words, but identical rows lose the same
+    ones.  An empty table gives an empty result.
     """
-    docs = keyed_texts(docs, id_col, text_col)
+    more = [F.col(c).alias(f"__carry_{i}") for i, c in enumerate(carry)]
+    kind = dict(docs.dtypes)
+    docs = docs.select(*keyed_columns(docs, id_col, text_col), *more)
+    names = docs.columns[2:]
     known = docs.where("doc_id is not null")  # the same exchange of texts serves both joins
-    joined = known.join(repeated_windows(known, size, run), F.col("doc_id") == F.col("doc"), "left").select("doc_id", "text", "windows")
-    rest = docs.where("doc_id is null").select("doc_id", "text", F.lit(None).cast("array<bigint>").alias("windows"))
-    return joined.union(rest).mapInArrow(_kept(size), KEPT)
+    joined = known.join(repeated_windows(known, size, run), F.col("doc_id") == F.col("doc"), "left").select("doc_id", "text", "windows", *names)
+    rest = docs.where("doc_id is null").select("doc_id", "text", F.lit(None).cast("array<bigint>").alias("windows"), *names)
+    schema = ", ".join([KEPT, *[f"{n} {kind[c]}" for n, c in zip(names, carry, strict=True)]])
+    return joined.union(rest).mapInArrow(_kept(size), schema).toDF(*[f.split()[0] for f in KEPT.split(", ")], *carry)
