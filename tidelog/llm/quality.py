@@ -125,9 +125,13 @@ def judge(docs: DataFrame, rules: list[Rule] | None = None, sample: int = SAMPLE
     A null or empty text has no words and fails the base rule.  Columns of
     ``docs`` that carry one of these names are replaced.  An empty table gives an
     empty result.
+
+    The verdict has a branch on the row number that never holds.  It keeps the
+    optimiser from moving a later filter on the verdict below the counts, where
+    each use of a count would spell out all that the count is made from.
     """
     counted = with_counts(docs.drop("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "rejected_by", "kept"))
     order = [rule for rule, _, _ in ordered(counted, default_rules() if rules is None else rules, sample)]
     out = counted.withColumn("base_failed", base_failed())
-    out = out.withColumn("rejected_by", F.when(F.col("base_failed"), F.lit("base")).otherwise(cascade(order)))
+    out = out.withColumn("rejected_by", F.when(F.monotonically_increasing_id() < 0, F.lit("never")).when(F.col("base_failed"), F.lit("base")).otherwise(cascade(order)))
     return out.withColumn("kept", F.col("rejected_by").isNull())
