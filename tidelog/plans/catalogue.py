@@ -1,9 +1,275 @@
-"""Registered queries of the event engine."""
+"""The registered queries of the event engine, each with the same in DuckDB's SQL."""
 
+from __future__ import annotations
 
-def queries():
-    return {}
+import hashlib
+import uuid
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-def oracle_sql():
-    return {}
+from tidelog.functions import crypto, text
+from tidelog.functions import tags as tag
+from tidelog.operators import purge, query, stats
+from tidelog.operators.visibility import ALWAYS, NONE, SEARCH_ONLY, Visibility, own_address, replace_winners
+from tidelog.plans import adapter
+from tidelog.plans.filters import parse_filters
+from tidelog.schema import payload
+
+Query = Callable[[SparkSession, str], DataFrame]
+FOUND = ("id", "pubkey", "created_at", "kind")
+DAY0 = 19723
+_made: dict[str, Query] = {}
+_sql: dict[str, str] = {}
+
+
+def _id(n: int) -> str:
+    return hashlib.sha256(f"e{n}".encode()).hexdigest()
+
+
+def _key(n: int) -> str:
+    return hashlib.sha256(f"u{n}".encode()).hexdigest()
+
+
+def _listed(values: list) -> str:
+    return ", ".join(f"'{v}'" if isinstance(v, str) else str(v) for v in values)
+
+
+def registered(sql: str | None = None):
+    def add(f: Query) -> Query:
+        _made[f.__name__] = f
+        if sql:
+            _sql[f.__name__] = adapter.sql(sql)
+        return f
+
+    return add
+
+
+def _filtered(name: str, filters: dict | list, select: str, visibility: str = SEARCH_ONLY, default: int | None = None, most: int | None = None, kinds: list[int] | None = None) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return query.run(adapter.notes(spark, sf_dir), parse_filters(filters, default, most), visibility, kinds).select(*FOUND)
+
+    _made[name] = run
+    _sql[name] = adapter.sql(select)
+
+
+def _where(condition: str, source: str = "notes", tail: str = "") -> str:
+    return f"SELECT id, pubkey, created_at, kind FROM {source} WHERE {condition} {tail}"
+
+
+_TOP = "ORDER BY created_at DESC, id LIMIT"
+_IDS, _KEYS = [_id(n) for n in (1, 2, 77, 10**9)], [_key(n) for n in range(1, 30)]
+_since, _until = (DAY0 + 3) * 86400 + 100, (DAY0 + 9) * 86400 + 200
+_has = lambda name, values: f"len(list_filter(tags, lambda t: t[1] = '{name}' AND t[2] IN ({_listed(values)}))) > 0"
+_in = lambda *terms: " AND ".join(f"contains(search_text, '{t}')" for t in terms)
+
+_filtered("filter_ids", {"ids": _IDS}, _where(f"id IN ({_listed(_IDS)})"))
+_filtered("filter_authors", {"authors": _KEYS}, _where(f"pubkey IN ({_listed(_KEYS)})"))
+_filtered("filter_kinds", {"kinds": [1, 5]}, _where("kind IN (1, 5)"))
+_filtered("filter_since_until", {"since": _since, "until": _until}, _where(f"created_at BETWEEN {_since} AND {_until}"))
+_filtered("filter_combined", {"authors": _KEYS, "kinds": [0, 30023], "since": _since, "#t": ["click", "signup"]}, _where(f"pubkey IN ({_listed(_KEYS)}) AND kind IN (0, 30023) AND created_at >= {_since} AND {_has('t', ['click', 'signup'])}"))
+_filtered("filter_tag_single", {"#t": "view"}, _where(_has("t", ["view"])))
+_filtered("filter_tag_multi_value", {"#k": ["1", "2", "3"]}, _where(_has("k", ["1", "2", "3"])))
+_filtered("filter_tag_and", {"#t": ["click"], "#d": ["4", "7"]}, _where(f"{_has('t', ['click'])} AND {_has('d', ['4', '7'])}"))
+_filtered("filter_tag_first_value_only", {"#t": ["x1", "x2"]}, _where("false"))
+_filtered("filter_match_all", [], _where("true"))
+_filtered("search_single", {"search": "ther"}, _where(_in("ther"), "visible"))
+_filtered("search_and_terms", {"kinds": [1, 30023], "search": "ther tion"}, _where(f"kind IN (1, 30023) AND {_in('ther', 'tion')}", "visible"))
+_filtered("search_case_fold", {"search": "  THER   TION "}, _where(_in("ther", "tion"), "visible"))
+_filtered("search_kind0_json", {"kinds": [0], "search": "user1 signup"}, _where(f"kind = 0 AND {_in('user1', 'signup')}", "visible"))
+_filtered("search_kind0_non_string", {"kinds": [0], "search": "nested"}, _where("false"))
+_filtered("search_kind30023_title", {"kinds": [30023], "search": "headline1"}, _where(f"kind = 30023 AND {_in('headline1')}", "visible"))
+_filtered("search_searchable_kinds", {"search": "ther"}, _where(f"kind IN (1, 5) AND {_in('ther')}", "visible"), kinds=[1, 5])
+_filtered("search_empty_terms", {"kinds": [0], "search": "   "}, _where("kind = 0"))
+_filtered("search_hidden_history", {"search": "ther"}, _where(_in("ther"), "texts"), NONE)
+_filtered("limit_topk", {"kinds": [1], "limit": 25}, _where("kind = 1", tail=f"{_TOP} 25"))
+_filtered("limit_tie_break", {"limit": 200}, _where("true", tail=f"{_TOP} 200"))
+_filtered("limit_zero", {"limit": 0}, _where("false"))
+_filtered("limit_max_default", [{"kinds": [0]}], _where("kind = 0", tail=f"{_TOP} 30"), default=50, most=30)
+_filtered("search_visible_limit", {"kinds": [1, 30023], "search": "ther tion", "limit": 50}, _where(f"kind IN (1, 30023) AND {_in('ther', 'tion')}", "visible", f"{_TOP} 50"))
+_filtered("or_filters_dedup", [{"authors": _KEYS[:5]}, {"kinds": [5]}, {"ids": _IDS}], _where(f"pubkey IN ({_listed(_KEYS[:5])}) OR kind = 5 OR id IN ({_listed(_IDS)})"))
+_PER_FILTER = [{"kinds": [1], "limit": 20}, {"kinds": [1, 5], "limit": 30}, {"search": "headline", "limit": 10}]
+_filtered("or_filters_per_filter_limit", _PER_FILTER, f"SELECT * FROM (({_where('kind = 1', tail=f'{_TOP} 20')}) UNION ({_where('kind IN (1, 5)', tail=f'{_TOP} 30')}) UNION ({_where(_in('headline'), 'visible', f'{_TOP} 10')}))")
+_filtered("visible_all", {}, _where("true", "visible"), ALWAYS)
+_filtered("visible_limit", {"kinds": [0, 10002, 30023], "limit": 40}, _where("kind IN (0, 10002, 30023)", "visible", f"{_TOP} 40"), ALWAYS)
+
+
+@registered("SELECT address, id, created_at FROM winners WHERE address NOT LIKE '3____:%'")
+def replaceable_winners(spark, sf_dir):
+    return replace_winners(adapter.notes(spark, sf_dir).where("kind < 20000"))
+
+
+@registered("SELECT address, id, created_at FROM winners WHERE address LIKE '30023:%'")
+def addressable_winners(spark, sf_dir):
+    return replace_winners(adapter.notes(spark, sf_dir).where("kind = 30023"))
+
+
+@registered("SELECT n.id, n.pubkey, n.created_at, n.kind FROM notes n JOIN deleted_ids d ON n.id = d.id AND n.pubkey = d.pubkey WHERE n.kind <> 5")
+def delete_by_e(spark, sf_dir):
+    all_notes = adapter.notes(spark, sf_dir)
+    named = Visibility.of(all_notes).deletions
+    return all_notes.where("kind <> 5").join(named, "id").where(F.array_contains("by", F.col("pubkey"))).select(*FOUND)
+
+
+@registered("SELECT n.id, count(DISTINCT d.pubkey) AS deleters FROM notes n JOIN deleted_ids d ON n.id = d.id WHERE n.id NOT IN (SELECT a.id FROM deleted_ids a JOIN notes m ON a.id = m.id AND a.pubkey = m.pubkey) GROUP BY n.id")
+def delete_by_e_foreign(spark, sf_dir):
+    all_notes = adapter.notes(spark, sf_dir)
+    named = Visibility.of(all_notes).deletions
+    return all_notes.select("id", "pubkey").join(named, "id").where(~F.array_contains("by", F.col("pubkey"))).select("id", F.size("by").cast("long").alias("deleters"))
+
+
+@registered("SELECT n.id, n.address, n.created_at, a.deleted_at FROM addressed n JOIN deleted_addresses a ON n.address = a.address WHERE n.created_at <= a.deleted_at")
+def delete_by_a(spark, sf_dir):
+    all_notes = adapter.notes(spark, sf_dir)
+    gone = Visibility.of(all_notes).addresses.select("address", "deleted_at")
+    return all_notes.withColumn("address", own_address()).join(gone, "address").where("created_at <= deleted_at").select("id", "address", "created_at", "deleted_at")
+
+
+@registered("SELECT address, deleted_at FROM deleted_addresses")
+def parsed_addresses(spark, sf_dir):
+    return Visibility.of(adapter.notes(spark, sf_dir)).addresses.where("deleted_at is not null").select("address", "deleted_at")
+
+
+_BATCH = [{"kinds": [1], "limit": 15}], [{"search": "ther"}, {"kinds": [5], "limit": 40}], [{"search": "headline user", "limit": 5}, {"kinds": [0], "limit": 5}]
+
+
+@registered(f"""SELECT 0 AS query, * FROM ({_where('kind = 1', tail=f'{_TOP} 15')})
+UNION ALL SELECT 1, * FROM (({_where(_in('ther'), 'visible')}) UNION ({_where('kind = 5', tail=f'{_TOP} 40')}))
+UNION ALL SELECT 2, * FROM (({_where(_in('headline', 'user'), 'visible', f'{_TOP} 5')}) UNION ({_where('kind = 0', tail=f'{_TOP} 5')}))""")
+def batch_queries(spark, sf_dir):
+    return query.batch(adapter.notes(spark, sf_dir), [parse_filters(list(q)) for q in _BATCH]).select("query", *FOUND)
+
+
+@registered(f"SELECT 1 AS query, * FROM ({_where('kind = 5')})")
+def batch_inactive(spark, sf_dir):
+    return query.batch(adapter.notes(spark, sf_dir), [parse_filters({"kinds": [1]}), parse_filters({"kinds": [5]})], active=[False, True]).select("query", *FOUND)
+
+
+@registered(_where("kind = 1", tail=f"{_TOP} 60"))
+def day_chunk_limit(spark, sf_dir):
+    days = list(range(DAY0, DAY0 + 30))
+    return query.newest_days(adapter.notes(spark, sf_dir), parse_filters({"kinds": [1], "limit": 60})[0], days).select(*FOUND)
+
+
+@registered(_where(f"(kind = 1 AND {_in('ther')}) OR kind = 5", "texts"))
+def live_delivery(spark, sf_dir):
+    from tidelog.streaming.subscription import live_matches
+
+    return live_matches(adapter.notes(spark, sf_dir), parse_filters([{"kinds": [1], "search": "ther"}, {"kinds": [5]}])).select(*FOUND)
+
+
+@registered("SELECT count(*) AS count, CAST(sum(strlen(content)) AS BIGINT) AS content_bytes FROM visible")
+def stats_visible(spark, sf_dir):
+    all_notes = adapter.notes(spark, sf_dir)
+    seen = Visibility.of(all_notes).visible(all_notes).dropDuplicates(["id"])
+    return seen.agg(F.count("*").alias("count"), F.sum(F.octet_length("content")).cast("long").alias("content_bytes"))
+
+
+@registered()
+def stats_payload(spark, sf_dir):
+    return stats.database_stats(adapter.notes(spark, sf_dir))
+
+
+@registered("SELECT format('{:,}', count(*)) AS count FROM visible")
+def stats_formatted(spark, sf_dir):
+    return stats.database_stats(adapter.notes(spark, sf_dir)).select(F.format_number("count", 0).alias("count"))
+
+
+@registered("SELECT unix_day, count(*) AS count, CAST(sum(strlen(content)) AS BIGINT) AS content_bytes FROM visible GROUP BY unix_day")
+def stats_by_day(spark, sf_dir):
+    all_notes = adapter.notes(spark, sf_dir)
+    return Visibility.of(all_notes).visible(all_notes).groupBy("unix_day").agg(F.count("*").alias("count"), F.sum(F.octet_length("content")).cast("long").alias("content_bytes"))
+
+
+@registered("SELECT unix_day, count(*) AS count, count(DISTINCT id) AS ids FROM notes GROUP BY unix_day")
+def day_partition_counts(spark, sf_dir):
+    return stats.day_counts(adapter.notes(spark, sf_dir))
+
+
+@registered(f"SELECT created_at, id FROM notes WHERE unix_day = {DAY0 + 4}")
+def negentropy_day(spark, sf_dir):
+    return stats.day_items(adapter.notes(spark, sf_dir), DAY0 + 4)
+
+
+@registered(_where("true"))
+def dedup_by_id(spark, sf_dir):
+    all_notes = adapter.notes(spark, sf_dir)
+    return query.dedup_by_id(all_notes.unionByName(all_notes.where("kind = 1"))).select(*FOUND)
+
+
+@registered("SELECT id, md5(search_text) AS text_md5 FROM texts")
+def search_text(spark, sf_dir):
+    return adapter.notes(spark, sf_dir).select("id", F.md5(text.search_text()).alias("text_md5"))
+
+
+@registered("SELECT t[1] AS name, t[2] AS value, count(*) AS count FROM (SELECT unnest(tags) AS t FROM notes) WHERE regexp_full_match(t[1], '[A-Za-z]') GROUP BY 1, 2")
+def tag_values(spark, sf_dir):
+    t = F.col("t")
+    return adapter.notes(spark, sf_dir).select(F.explode("tags").alias("t")).where(tag.is_single_letter(t)).groupBy(tag.name_of(t).alias("name"), tag.value_of(t).alias("value")).agg(F.count("*").alias("count"))
+
+
+@registered("""SELECT id, sha256('[0,"' || pubkey || '",' || created_at || ',10002,[["k","' || k || '"]],"k' || k || '"]') AS note_id FROM notes WHERE kind = 10002""")
+def note_ids(spark, sf_dir):
+    chosen = adapter.notes(spark, sf_dir).where("kind = 10002").withColumn("k", F.try_element_at(tag.values(F.col("tags"), "k"), F.lit(1)))
+    chosen = chosen.withColumns({"tags": F.array(F.array(F.lit("k"), F.col("k"))), "content": F.concat(F.lit("k"), F.col("k"))})
+    return chosen.select("id", crypto.hashed_id().alias("note_id"))
+
+
+_NOW = (DAY0 + 30) * 86400
+
+
+@registered(_where(f"CASE WHEN kind = 1 THEN created_at >= {_NOW - 7 * 86400} WHEN kind = 5 THEN true WHEN kind = 0 THEN false ELSE created_at >= {_NOW - 20 * 86400} END"))
+def purge_retain(spark, sf_dir):
+    policy = purge.PurgePolicy.from_specs(["20d", "1:7d", "5:never", "0=purge"])
+    return purge.retain(adapter.notes(spark, sf_dir), policy, _NOW).select(*FOUND)
+
+
+@registered(_where(f"kind <> 1 OR created_at + 86400 * k > {_NOW}"))
+def expiration(spark, sf_dir):
+    k = F.try_element_at(tag.values(F.col("tags"), "k"), F.lit(1)).cast("long")
+    end = F.array(F.array(F.lit("expiration"), (F.col("created_at") + 86400 * k).cast("string")))
+    all_notes = adapter.notes(spark, sf_dir)
+    timed = all_notes.withColumn("tags", F.when(F.col("kind") == 1, F.concat("tags", end)).otherwise(F.col("tags")))
+    return purge.unexpired(timed, _NOW).select(*FOUND)
+
+
+def _stored(spark: SparkSession, sf_dir: str):
+    """A new store with all notes: most compacted, the last day only landed."""
+    from tidelog.sources.store import Store, StoreOptions
+
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    store = Store(spark, f"{base}/notes-{uuid.uuid4().hex}", StoreOptions(verify=False, hot_max_bytes=1 << 60))
+    all_notes = adapter.notes(spark, sf_dir)
+    store.append(all_notes.where(F.col("unix_day") < DAY0 + 29))
+    store.compact()
+    store.append(all_notes.where(F.col("unix_day") >= DAY0 + 29))
+    return store
+
+
+@registered(_where(f"kind IN (1, 30023) AND {_in('ther', 'tion')}", "visible"))
+def store_query(spark, sf_dir):
+    return _stored(spark, sf_dir).query({"kinds": [1, 30023], "search": "ther tion"}).select(*FOUND)
+
+
+@registered(_where("true", "visible"))
+def dump_load(spark, sf_dir):
+    from tidelog.sources.store import Store, StoreOptions
+
+    store = _stored(spark, sf_dir)
+    store.dump_jsonl(f"{store.path}/dump")
+    again = Store(spark, f"{store.path}/again", StoreOptions(verify=False))
+    again.import_jsonl(f"{store.path}/dump")
+    return again.query("{}", NONE).select(*FOUND)
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return query.run(adapter.notes(spark, sf_dir), parse_filters({"kinds": [1, 30023], "search": "ther tion", "limit": 50})).select(*FOUND, payload().alias("json"))
+
+
+def queries() -> dict[str, Query]:
+    return dict(_made)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_sql)
