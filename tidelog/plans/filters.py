@@ -120,7 +120,10 @@ class Filter:
         return text.terms(self.search)
 
     def condition(self, search_text: Column, searchable_kinds: list[int] | None = None, by_day: bool = False) -> Column:
-        """Holds for the notes that match.  ``by_day``: there is a column unix_day whose partitions can be left out."""
+        """Holds for the notes that match (false or null for others; plain conjuncts, so that scans can take them).
+
+        ``by_day``: there is a column unix_day whose partitions can be left out.
+        """
         parts = [F.col(c).isin(*given) for c, given in (("id", self.ids), ("pubkey", self.authors), ("kind", self.kinds)) if given]
         if self.since is not None:
             parts.append(F.col("created_at") >= self.since if self.since <= LARGEST_LONG else F.lit(False))
@@ -135,7 +138,7 @@ class Filter:
             if searchable_kinds is not None:
                 parts.append(F.col("kind").isin(*searchable_kinds) if searchable_kinds else F.lit(False))
             parts += [F.contains(search_text, F.lit(t)) for t in dict.fromkeys(wanted)]
-        return F.coalesce(reduce(and_, parts), F.lit(False)) if parts else F.lit(True)
+        return reduce(and_, parts) if parts else F.lit(True)
 
 
 def any_of(conditions: list[Column]) -> Column:
