@@ -241,6 +241,8 @@ def _values(size: int, run: int):
                 turn[1:] = (low[1:] != low[:-1]) | (ids[1:] != ids[:-1])
                 parts.append((ids[turn], low[turn]))
             ids, low = (np.concatenate([p[i] for p in parts]) for i in range(2))
+            if not len(ids):
+                continue
             order, new = _first_of(ids, low)
             ids, low = ids[order], low[order]
             group = np.cumsum(new) - 1
@@ -250,7 +252,7 @@ def _values(size: int, run: int):
             yield pa.RecordBatch.from_arrays([pa.array(low[first].view(np.int64)), pa.array(ids[first], mask=several), pa.array(np.zeros(len(first), bool))], names=["k", "v", "told"])
             fresh = np.ones(len(low), bool)
             fresh[1:] = new[1:] | (ids[1:] != ids[:-1])
-            told = several[group] & fresh if len(low) else fresh
+            told = several[group] & fresh
             yield pa.RecordBatch.from_arrays([pa.array(ids[told]), pa.array(low[told].view(np.int64)), pa.array(np.ones(int(told.sum()), bool))], names=["k", "v", "told"])
 
     return work
