@@ -50,6 +50,10 @@ def _folded(texts: pd.Series) -> pd.Series:
     return texts.map(fold, na_action="ignore")
 
 
+#: So named that the optimiser makes the text once and doesn't copy it into every condition on it.
+_folded = _folded.asNondeterministic()
+
+
 def _either(text: Column, plain: Column, other) -> Column:
     """``plain`` for texts of ASCII only, the UDF ``other`` (which gets nulls in their place) for the rest."""
     ascii_only = F.octet_length(text) == F.length(text)

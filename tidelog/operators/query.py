@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidelog.functions import text
@@ -22,11 +22,28 @@ from tidelog.schema import COLUMNS, newest_first
 SALTS = 64
 
 
-def _text(notes: DataFrame, filters: Sequence[Filter]) -> Column:
-    """The stored search text, or else the text made on the way, if any filter needs it."""
+def matching(notes: DataFrame, filters: Sequence[Filter], searchable_kinds: list[int] | None = None, to: str = "hits") -> DataFrame:
+    """Notes that match any of the filters, with the numbers of those in ``to``.
+
+    Fields are looked at first, in the scan where it can; texts are made, once,
+    only for what is left, unless the table has its column search_text.
+    """
+    by_day = "unix_day" in notes.columns
+    fields = [f.fields(searchable_kinds, by_day) for f in filters]
+    found = notes.where(any_of(fields))
     if not any(f.terms for f in filters):
-        return F.lit("")
-    return F.col("search_text") if "search_text" in notes.columns else text.matchable_text()
+        searched = fields
+    elif "search_text" in notes.columns:
+        searched = [c & f.text_has_terms(F.col("search_text")) for c, f in zip(fields, filters, strict=True)]
+        found = notes.where(any_of(searched))
+    else:
+        found = found.withColumn("__text", text.matchable_text())
+        searched = [c & f.text_has_terms(F.col("__text")) for c, f in zip(fields, filters, strict=True)]
+        found = found.where(any_of(searched))
+    if len(filters) == 1:
+        return found.withColumn(to, F.array(F.lit(0))).select(*notes.columns, to)
+    hits = F.filter(F.array(*[F.when(c, F.lit(i)) for i, c in enumerate(searched)]), lambda x: x.isNotNull())
+    return found.withColumn(to, hits).select(*notes.columns, to)
 
 
 def _checks(f: Filter, visibility: str) -> bool:
@@ -47,8 +64,7 @@ def run(notes: DataFrame, filters: Sequence[Filter], visibility: str = SEARCH_ON
     (f,) = filters
     if f.limit == 0:
         return notes.select(*COLUMNS).limit(0)
-    by_day = "unix_day" in notes.columns
-    found = notes.where(f.condition(_text(notes, filters), searchable_kinds, by_day)).select(*COLUMNS)
+    found = matching(notes, filters, searchable_kinds).select(*COLUMNS)
     if _checks(f, visibility):
         found = (rules or Visibility.of(notes)).visible(found)
     found = found.dropDuplicates(["id"]).orderBy(*newest_first())
@@ -70,12 +86,7 @@ def batch(notes: DataFrame, queries: Sequence[Sequence[Filter]], visibility: str
     if not pairs:
         return notes.select(*COLUMNS, F.lit(0).alias("query")).limit(0)
     filters = [f for _, f in pairs]
-    searching = _text(notes, filters)
-    notes_ = notes.withColumn("__text", searching)
-    by_day = "unix_day" in notes.columns
-    conditions = [f.condition(F.col("__text"), searchable_kinds, by_day) for f in filters]
-    hits = F.filter(F.array(*[F.when(c, F.lit(i)) for i, c in enumerate(conditions)]), lambda x: x.isNotNull())
-    found = notes_.where(any_of(conditions)).withColumn("__hits", hits).select(*COLUMNS, "__hits")
+    found = matching(notes, filters, searchable_kinds, "__hits").select(*COLUMNS, "__hits")
     checked = [i for i, f in enumerate(filters) if _checks(f, visibility)]
     if checked:
         found = (rules or Visibility.of(notes)).flagged(found, "__visible")

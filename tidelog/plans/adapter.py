@@ -24,6 +24,8 @@ def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
         CASE WHEN kind = 5 AND k % 2 = 1 THEN array(array('a', concat('30023:', pubkey, ':', k % 10))) ELSE CAST(array() AS ARRAY<ARRAY<STRING>>) END)""")
     content = F.expr("""CASE WHEN kind = 0 THEN concat('{"name":"User', user_id, '","about":"', event_type, ' ', k, '","n":', k, ',"x":["nested"]}') ELSE text END""")
     texts = documents.select(F.col("doc_id").alias("doc"), "text")
+    # slim rows are dealt evenly before they take their texts, else few tasks would do all the work on texts
+    c = c.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "id")
     return c.join(texts, "doc", "left").select("id", "pubkey", "created_at", "kind", tags.alias("tags"), content.alias("content"), F.lit(SIG).alias("sig"), unix_day(F.col("created_at")).alias("unix_day"))
 
 

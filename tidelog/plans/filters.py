@@ -119,10 +119,11 @@ class Filter:
     def terms(self) -> list[str]:
         return text.terms(self.search)
 
-    def condition(self, search_text: Column, searchable_kinds: list[int] | None = None, by_day: bool = False) -> Column:
-        """Holds for the notes that match (false or null for others; plain conjuncts, so that scans can take them).
+    def fields(self, searchable_kinds: list[int] | None = None, by_day: bool = False) -> Column:
+        """Holds for the notes that match in all but their text (false or null for others).
 
-        ``by_day``: there is a column unix_day whose partitions can be left out.
+        Plain conjuncts, so that scans can take them.  ``by_day``: there is a
+        column unix_day whose partitions can be left out.
         """
         parts = [F.col(c).isin(*given) for c, given in (("id", self.ids), ("pubkey", self.authors), ("kind", self.kinds)) if given]
         if self.since is not None:
@@ -134,11 +135,16 @@ class Filter:
             if by_day:
                 parts.append(F.col("unix_day") <= self.until // DAY)
         parts += [tag.has_value(F.col("tags"), letter, given) for letter, given in self.tags.items() if given]
-        if wanted := self.terms:
-            if searchable_kinds is not None:
-                parts.append(F.col("kind").isin(*searchable_kinds) if searchable_kinds else F.lit(False))
-            parts += [F.contains(search_text, F.lit(t)) for t in dict.fromkeys(wanted)]
-        return reduce(and_, parts) if parts else F.lit(True)
+        if self.terms and searchable_kinds is not None:
+            parts.append(F.col("kind").isin(*searchable_kinds) if searchable_kinds else F.lit(False))
+        return all_of(parts)
+
+    def text_has_terms(self, search_text: Column) -> Column:
+        return all_of([F.contains(search_text, F.lit(t)) for t in dict.fromkeys(self.terms)])
+
+
+def all_of(conditions: list[Column]) -> Column:
+    return reduce(and_, conditions) if conditions else F.lit(True)
 
 
 def any_of(conditions: list[Column]) -> Column:
