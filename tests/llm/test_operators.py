@@ -110,6 +110,59 @@ def test_pseudonyms_are_valid_and_can_be_undone():
     assert pii.replace("4111111111111112 2023-02-29 300.1.1.1 000-12-3456 v1.2.3", key)[1] == []
 
 
+def sampled(pattern, rng):
+    """A text of the shape of ``pattern``; what stands around it (lookarounds) is left out."""
+    from re import _constants as c
+    from re import _parser
+
+    groups = {}
+
+    def one(op, arg):
+        if op is c.LITERAL:
+            return chr(arg)
+        if op is c.IN:
+            signs = [chr(x) for kind, v in arg for x in ([v] if kind is c.LITERAL else range(v[0], v[1] + 1))]
+            return signs[rng.integers(len(signs))]
+        if op is c.MAX_REPEAT:
+            low, high, inner = arg
+            return "".join(some(inner) for _ in range(rng.integers(low, min(high, low + 8) + 1)))
+        if op is c.BRANCH:
+            return some(arg[1][rng.integers(len(arg[1]))])
+        if op is c.SUBPATTERN:
+            groups[arg[0]] = some(arg[3])
+            return groups[arg[0]]
+        if op is c.GROUPREF:
+            return groups[arg]
+        assert op is c.ASSERT_NOT
+        return ""
+
+    def some(parts):
+        return "".join(one(op, arg) for op, arg in parts)
+
+    return some(_parser.parse(pattern))
+
+
+def test_hint_is_implied_by_every_shape():
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    rng = np.random.default_rng(7)
+    for kind, shape in pii._SHAPES.items():
+        texts = [t for t in (sampled(shape, rng) for _ in range(3000)) if re.fullmatch(shape, t)]
+        hint = pc.match_substring_regex(pa.array(texts), pii.HINT).to_pylist()
+        assert len(texts) > 1000 and [t for t, h in zip(texts, hint, strict=True) if not h] == [], kind
+
+
+def test_numbers_in_short_groups_are_replaced_in_any_text(spark):
+    key = hashlib.sha256(b"k").digest()
+    values = ["+33 6 12 34 56 78", "+45 12 34 56 78", "+47 22 33 44 55", "+49 89 636 480 18"]
+    rows = [(2 * i + j, f"call {v} {more}") for i, v in enumerate(values) for j, more in enumerate(("now", "since 1999"))]
+    got = {r["doc_id"]: r for r in pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()}
+    for i, text in rows:
+        new, spans = pii.replace(text, key)
+        assert len(spans) == 1 and got[i]["text"] == new != text and got[i]["pii_spans"] == f"phone:5:{5 + len(values[i // 2])}"
+
+
 def test_permutation():
     for size in (1, 2, 3, 10, 97, 1000):
         got = [pii.permute(i, size, b"k", "t") for i in range(size)]

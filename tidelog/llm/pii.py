@@ -178,8 +178,9 @@ _SHAPES = {
 }
 _SHAPES["card"] = _SHAPES["card"].replace("([ -])", "(?P<sep>[ -])").replace(r"\g<sep>", "(?P=sep)")
 _ANY = re.compile("|".join(f"(?P<{k}>{_SHAPES[k]})" for k in KINDS))
-#: What any candidate has; a quick look for it spares the rest of the text.
-HINT = r"@|[0-9]{4}|[0-9]\.[0-9]|[0-9][-/)]"
+#: What any candidate has, of whatever shape (international numbers in short groups and IBANs with few digits in a row
+#: too); a quick look for it spares the rest of the text.
+HINT = r"@|[0-9]{4}|[0-9]\.[0-9]|[0-9][-/)]|\+[2-9][0-9]{0,2}[ .-]|[A-Z]{2}[0-9]{2}[ A-Z0-9]"
 
 
 @lru_cache(1 << 16)
