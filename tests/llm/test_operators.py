@@ -325,6 +325,20 @@ def test_constants_reach_sensitive_names():
     assert secrets.assigned('password = "changeme"\ntoken = "your_token"') == []
 
 
+def spans_without_hint(text):
+    return ",".join(f"{k}:{a}:{b}" for a, _, k, b in sorted(secrets.base_spans(text) + secrets.assigned(text)))
+
+
+def test_every_text_with_spans_is_scanned(spark, docs):
+    """The query against the rules run on every text; values with any first sign, names with any last one."""
+    values = [f"{c}9Xk2Lm+Qz8vT4wR1" for c in map(chr, range(33, 127)) if c not in "\"'`,;)}]"] + ["é9Xk2Lm+Qz8vT4wR1", "\x0b9Xk2Lm+Qz8vT4wR1"]
+    texts = [f"{name} {sign}{gap}{v}" for v in values for name, sign, gap in (("db_pwd", "=", " "), ("jwt_auth", ":", "\t"), ("credential_dsn$", ":=", ""), ("private_key.", "=>", " "), ("'bearer-jwt-'", "=", ""))]
+    rows = [*enumerate(texts), *((len(texts) + i, t or "") for i, (_, t) in enumerate(docs))]
+    got = {r["doc_id"]: r["spans"] for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: spans_without_hint(t) for i, t in rows} and sum(map(bool, got.values())) > 300
+    assert got[texts.index("db_pwd = /9Xk2Lm+Qz8vT4wR1")] and got[texts.index("jwt_auth :\t+9Xk2Lm+Qz8vT4wR1")]
+
+
 # packing
 
 
