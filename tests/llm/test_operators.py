@@ -318,6 +318,27 @@ def test_base_spans_on_hard_texts():
         assert secrets.base_spans(t) == brute_spans(t)
 
 
+def test_names_and_literals_of_any_length(spark):
+    rng = np.random.default_rng(5)
+    long = "".join(rng.choice(list("abcXYZ0189+/"), 10000))
+    name = ".".join(["part"] * 40)
+    pem = "-----BEGIN RSA PRIVATE KEY-----" + r"\n".join([long[:64]] * 150) + "-----END RSA PRIVATE KEY-----"
+    cases = [('private_key = "', long, '"'), ("db_pwd: '", long, "'"), ("jwt_auth = ", long, " "), ("credential => `", long, "`"), ('"private_key": "', pem, '"'), (f"{name}.db_pwd = '", long[:20], "'"), ('db_pwd = "', long[:5000] + r"\"" + long, '"')]
+    rows = [(i, f"{a}{v}{b}") for i, (a, v, b) in enumerate(cases)]
+    got = {r["doc_id"]: r["spans"] for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, (a, v, _) in enumerate(cases):
+        assert f"literal:{len(a)}:{len(a) + len(v)}" in got[i].split(",")
+
+
+def test_lexer_is_linear():
+    import time
+
+    for text in ('a="', "a='", "a=`", 'a="x"+', '"a', "a.", "a ", "a= ", 'x="\\"', "a=b+", "a:'\"`"):
+        begun = time.process_time()
+        secrets.pairs(text * 100000)
+        assert time.process_time() - begun < 10, text
+
+
 def test_constants_reach_sensitive_names():
     text = 'base = "kJ8#mQ2!zP9@"\nother = "kJ8mmm2zP9x"\ndb_password = base\ncolor: "kJ8#mQ2!zP9@"\nclient_secret => \'Zx9+\' + "Qw4rTy7!pL"'
     spans = {text[a:b] for a, _, _, b in secrets.assigned(text)}

@@ -30,10 +30,12 @@ _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{32,}")
 #: What a text with any span has; RE2 looks for these in one pass.  The last branch holds for whatever _PAIR takes.
 HINT = r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]|AKIA[A-Z0-9]{12}|[0-9a-f]{32}|[A-Za-z0-9_$.\-\"'][\x20\t]*(?::=|=>|[:=])[\x20\t]*[^\s,;)}\]]"
 
-_NAME = r"[A-Za-z_$][A-Za-z0-9_$.\-]{0,99}"
-_STRING = r"\"(?:\\.|[^\"\\\n]){0,4096}\"|'(?:\\.|[^'\\\n]){0,4096}'|`(?:\\.|[^`\\]){0,4096}`"
-_PAIR = re.compile(rf"(?<![A-Za-z0-9_$.\-])(?P<q>[\"']?)(?P<name>{_NAME})(?P=q)[\x20\t]*(?::=|=>|=(?!=)|:(?!:))[\x20\t]*(?P<value>(?:{_STRING}|[^\s\"'`,;)}}\]]{{1,4096}}))")
-_SUM = re.compile(rf"[\x20\t]*\+[\x20\t]*(?:\n[\x20\t]*)?(?P<value>{_STRING}|{_NAME})")
+#: Names and literals of any length.  No repeat can give back what the next part would take, so all are possessive and a
+#: text is read in linear time.
+_NAME = r"[A-Za-z_$][A-Za-z0-9_$.\-]*+"
+_STRING = r"\"[^\"\\\n]*+(?:\\.[^\"\\\n]*+)*+\"|'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+'|`[^`\\]*+(?:\\.[^`\\]*+)*+`"
+_PAIR = re.compile(rf"(?<![A-Za-z0-9_$.\-])(?P<q>[\"']?)(?P<name>{_NAME})(?P=q)[\x20\t]*+(?::=|=>|=(?!=)|:(?!:))[\x20\t]*+(?P<value>(?:{_STRING}|[^\s\"'`,;)}}\]]++))")
+_SUM = re.compile(rf"[\x20\t]*+\+[\x20\t]*+(?:\n[\x20\t]*+)?(?P<value>{_STRING}|{_NAME})")
 
 #: How sensitive the parts of a name are.
 WEIGHTS = {"password": 3, "passwd": 3, "pwd": 3, "passphrase": 3, "secret": 3, "token": 2, "apikey": 3, "credential": 2, "credentials": 2, "auth": 1, "bearer": 2, "private": 1, "access": 1, "api": 1, "key": 1, "signing": 1, "encryption": 1, "salt": 1, "jwt": 2, "dsn": 1}
