@@ -268,6 +268,26 @@ def test_near_vectors(spark):
     check_vectors({r["vec_id"]: r for r in got.collect()}, vectors, 0.99)
 
 
+@pytest.mark.parametrize("shape", ["low rank", "mixed lengths"])
+def test_no_near_vector_is_missed(spark, shape):
+    """Pairs right above the threshold: vectors of rank 6 in 64 dimensions, and one long vector among short ones."""
+    rng = np.random.default_rng(11)
+    rank, width = (6, 64) if shape == "low rank" else (8, 8)
+    base = rng.normal(size=(700, rank))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    aside = rng.normal(size=base.shape)
+    aside -= (aside * base).sum(1, keepdims=True) * base
+    aside /= np.linalg.norm(aside, axis=1, keepdims=True)
+    cosine = rng.uniform(0.931, 0.94, (700, 1))
+    turn = np.linalg.qr(rng.normal(size=(width, rank)))[0].T
+    both = np.vstack([base, cosine * base + np.sqrt(1 - cosine**2) * aside]) @ turn
+    vectors = [(i, i % 700 % 3, v.tolist()) for i, v in enumerate(both.astype(np.float32))]
+    if shape == "mixed lengths":
+        vectors.append((len(vectors), 0, rng.normal(size=4096).astype(np.float32).tolist()))
+    got = embeddings.near_duplicates(spark.createDataFrame(vectors, "vec_id long, label int, embedding array<float>"), lists=24)
+    check_vectors({r["vec_id"]: r for r in got.collect()}, vectors, 1.0)
+
+
 def test_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(1, 1, [1.0, 0.0]), (2, 1, [1.0, 0.0]), (3, None, [1.0, 0.0]), (4, 1, None), (5, 1, []), (6, 1, [0.0, 0.0]), (7, 1, [1.0, None]), (8, 1, [nan, 1.0]), (9, 1, [inf, 1.0]), (10, 1, [2.0, 0.1]), (11, 1, [1.0]), (12, 2, [1.0, 0.0]), (None, 1, [1.0, 0.0])]

@@ -5,9 +5,10 @@
    parts of a vector are fitted on a bounded sample of classes.  Every class is
    put into the list of its nearest centroid with its residual's codes and the
    length of the error that the codes make.
-3. A class queries all lists that a vector within reach could be in.  A vector
-   at distance ``reach`` in any direction moves by about ``reach / sqrt(d)``
-   towards a given list; lists that lie within ``SURE`` times that are probed.
+3. A class queries all lists that a vector within reach could be in: those
+   whose side of the plane towards its own list meets the cap of directions
+   around it whose cosine is at least the threshold.  This loses nothing, for
+   vectors of any spread and length.
 4. In each list, asymmetric distances (the query itself against the codes, by
    table lookup) drop what lies farther than ``reach`` plus the error of the
    codes, which loses nothing; cosines in double precision decide the rest.
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from tidelog.llm.common import components, cut
 from tidelog.llm.kernels import runs
 
-THRESHOLD, SURE = 0.93, 4.0
+THRESHOLD = 0.93
 #: Most classes that the index is fitted on, subspaces, words of a codebook, most lists.
 SAMPLE, SUBSPACES, CODEWORDS, LISTS = 16384, 8, 256, 4096
 BLOCK = 512
@@ -87,11 +88,20 @@ class Index:
             total += _nearest(p, book)[1].astype(np.float32)[:, codes[:, m]]
         return total
 
-    def probes(self, home: np.ndarray, square: np.ndarray, margin: float) -> np.ndarray:
-        """Which lists (rows x lists) lie within ``margin``: the distance to the plane between a list and the home list."""
-        own = self.coarse[home]
-        apart = np.sqrt(np.maximum((own * own).sum(1)[:, None] - 2 * own @ self.coarse.T + (self.coarse * self.coarse).sum(1), 1e-18))
-        return (square - square[np.arange(len(home)), home][:, None]) <= 2 * margin * apart
+    def probes(self, unit: np.ndarray, home: np.ndarray, threshold: float) -> np.ndarray:
+        """Which lists (rows x lists) can hold a vector whose cosine with the row is at least ``threshold``.
+
+        Such a vector is in a list only if it is no farther from its mean than from that of the row's home list, so if its
+        product with the difference of the means reaches ``level``; ``most`` is the greatest such product in the cap.
+        """
+        own, length = self.coarse[home], (self.coarse * self.coarse).sum(1)
+        level = (length - length[home][:, None]) / 2
+        apart = np.maximum((own * own).sum(1)[:, None] - 2 * own @ self.coarse.T + length, 0)
+        along = unit @ self.coarse.T - (unit * own).sum(1)[:, None]
+        aside = np.sqrt(np.maximum(apart - along * along, 0))
+        apart = np.sqrt(apart)
+        most = np.where(along >= threshold * apart, apart, threshold * along + sqrt(max(0.0, 1 - threshold * threshold)) * aside)
+        return most + 1e-6 >= level
 
 
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
@@ -115,16 +125,16 @@ def _unit(x: np.ndarray) -> np.ndarray:
 ASSIGNED = "label long, dim int, rep long, n long, vector binary, home int, probes array<int>, codes binary, error float"
 
 
-def _assigned(index: Index, width: int, margin: float, kind: str):
+def _assigned(index: Index, width: int, threshold: float, kind: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for low in range(0, batch.num_rows, 1024):
                 part = batch.slice(low, 1024)
                 raw = _scaled(_matrix(part.column(4), width), kind)
                 unit = _unit(raw)
-                home, square = _nearest(unit, index.coarse)
+                home = _nearest(unit, index.coarse)[0]
                 codes, error = index.coded(unit - index.coarse[home])
-                probed = index.probes(home, square, margin)
+                probed = index.probes(unit, home, threshold)
                 off = np.concatenate([[0], np.cumsum(probed.sum(1))]).astype(np.int32)
                 vectors = pa.array([v.tobytes() for v in raw.astype(kind)], pa.binary())
                 probes = pa.ListArray.from_arrays(pa.array(off), pa.array(np.nonzero(probed)[1].astype(np.int32)))
@@ -178,7 +188,7 @@ def _linked(index: Index, threshold: float, reach: float, kind: str):
     return runs(work, 5)
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, sure: float = SURE, lists: int | None = None, sample: int = SAMPLE, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
+def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, lists: int | None = None, sample: int = SAMPLE, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """One row (vec_id, n_links, component_id, kept) for each row of ``vectors``.
 
     Rows whose vector or label or id is null, or whose vector is empty, all zeros
@@ -188,8 +198,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, sure: floa
     node.  An empty table gives an empty result.
 
     ``label_col`` holds whole numbers.  ``lists`` grows with the square root of
-    the number of classes, to 4096 at most.  With ``sure`` = 4 a pair right at the
-    threshold is missed about once in ten thousand; closer pairs less often.
+    the number of classes, to 4096 at most.  No pair is missed; vectors without
+    coarse structure query most lists.
     """
     spark = vectors.sparkSession
     kind = "<f4" if dict(vectors.dtypes)[vector_col] == "array<float>" else "<f8"
@@ -205,8 +215,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, sure: floa
     unit = _unit(_scaled(_matrix(chosen, width), kind))
     index = Index.fit(unit, lists or max(1, min(LISTS, isqrt(total) // 4)))
     reach = sqrt(max(0.0, 2 - 2 * threshold))
-    margin = sure * reach / sqrt(width)
-    assigned = cut(classes.select("label", "dim", "rep", "n", "v").mapInArrow(_assigned(index, width, margin, kind), ASSIGNED))
+    assigned = cut(classes.select("label", "dim", "rep", "n", "v").mapInArrow(_assigned(index, width, threshold, kind), ASSIGNED))
 
     part = ["label", "dim", "list"]
     members = assigned.withColumnRenamed("home", "list").drop("probes").withColumn("side", F.lit(0))
