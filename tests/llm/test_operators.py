@@ -483,6 +483,31 @@ def test_large_groups_in_blocks(spark, monkeypatch):
     assert got == label
 
 
+def test_bands_and_screen_follow_the_threshold():
+    from math import comb
+
+    assert (minhash.bands_for(85), minhash.screen_for(85, 100), minhash.bands_for(80, 4, 1e-6), minhash.bands_for(100)) == (20, 65, 27, 1)
+    for percent in (60, 70, 80, 85, 95):
+        p, m = percent / 100, 5 * minhash.bands_for(percent)
+        assert (1 - p**5) ** (m // 5) <= minhash.MISS < (1 - p**5) ** (m // 5 - 1)
+        assert sum(comb(m, k) * p**k * (1 - p) ** (m - k) for k in range(minhash.screen_for(percent, m))) <= minhash.MISS / 40
+
+
+def test_near_copies_from_080(spark):
+    """Copies at 0.80 to 0.849 in groups of three."""
+    rows = []
+    for g in range(60):
+        base = [f"w{g}_{i}" for i in range(49 + g)]
+        n = len(base) - 4
+        # d changed words at the end take d of the n shingles from each side
+        most = next(d for d in range(n, 0, -1) if 100 * (n - d) >= 80 * (n + d))
+        rows += [(3 * g, " ".join(base)), *((3 * g + k, " ".join(base[:-most] + [f"x{g}_{k}_{i}" for i in range(most)])) for k in (1, 2))]
+    assert near(rows)[1] == {i: i for i, _ in rows}
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(df, percent=80, rows=4, miss=1e-6).collect()}
+    assert got == {i: i - i % 3 for i, _ in rows}
+
+
 # SentencePiece
 
 

@@ -23,6 +23,7 @@ a whole band are candidates; candidates are confirmed on full sets:
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import ceil, comb, log, log1p
 
 import numpy as np
 import pyarrow as pa
@@ -33,12 +34,24 @@ from pyspark.sql import types as T
 from tidelog.llm.common import components, cut, keyed_texts
 from tidelog.llm.kernels import PLACE, U64, Words, each_slice, mix, runs
 
-SHINGLE, BANDS, ROWS = 5, 20, 5
+SHINGLE, ROWS = 5, 5
+#: How often a pair at the threshold may share no band; 20 bands of 5 at 0.85 do about 8 times in a million.
+MISS = 1e-5
 #: Members of a bucket that one block takes from each side, and columns of an incidence matrix held at a time.
 BLOCK, COLUMNS = 512, 2048
-#: Signature places in a hundred that must agree before full sets are compared.  At a similarity of 0.85 fewer agree
-#: about twice in ten million pairs.
-SCREEN = 65
+
+
+def bands_for(percent: int, rows: int = ROWS, miss: float = MISS) -> int:
+    """The fewest bands of which a pair at the threshold shares none with a probability of at most ``miss``."""
+    return 1 if percent >= 100 else ceil(log(miss) / log1p(-((percent / 100) ** rows)))
+
+
+def screen_for(percent: int, places: int, miss: float = MISS) -> int:
+    """How many signature places must agree before full sets are compared: at the threshold fewer do with a probability of at most ``miss`` / 40."""
+    p, low, tail = min(percent, 100) / 100, 0, 0.0
+    while low < places and (tail := tail + comb(places, low) * p**low * (1 - p) ** (places - low)) <= miss / 40:
+        low += 1
+    return low
 
 
 def shingle_sets(words: Words, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -183,14 +196,14 @@ def _sides(rows: pa.RecordBatch) -> np.ndarray:
     return wanted
 
 
-def _screened(places: int):
+def _screened(least: int):
     def work(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         wanted = _sides(rows)
         signs = np.frombuffer(b"".join(rows.column(7).to_pylist()), np.uint8).reshape(rows.num_rows, -1)
         alike = np.zeros(wanted.shape, np.int16)
         for place in range(signs.shape[1]):
             alike += signs[:, place, None] == signs[None, :, place]
-        near = (wanted & (100 * alike.astype(np.int32) >= places * signs.shape[1])).any(axis=1)
+        near = (wanted & (alike >= least)).any(axis=1)
         if near.any():
             yield rows.select(range(7)).filter(pa.array(near))
 
@@ -240,16 +253,18 @@ def _joined(percent: int):
     return runs(work)
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = SHINGLE, bands: int | None = None, rows: int = ROWS, miss: float = MISS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row (doc_id, n_shingles, component_id, kept) for each row of ``docs``.
 
-    With 20 bands of 5 rows a pair at the threshold of 0.85 shares no band with
-    probability (1 - 0.85**5)**20, about 8 in a million.  A null text, or one
+    Bands (unless given) and screen follow ``percent``, so that a pair at the
+    threshold shares no band with a probability of at most ``miss``: 20 bands of 5
+    at 0.85, (1 - 0.85**5)**20 being about 8 in a million.  A null text, or one
     without words, has no shingles and links with nothing.  A null id is its own
     component (null) and is kept.  Rows that share an id are one node.  An empty
     table gives an empty result.
     """
     spark = docs.sparkSession
+    bands = bands or bands_for(percent, rows, miss)
     docs = keyed_texts(docs, id_col, text_col)
     signed = cut(docs.mapInArrow(_signed(bands, rows, shingle), "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>, bytes binary"))
     filled = signed.where("n_shingles > 0 and doc_id is not null")
@@ -273,7 +288,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = SHINGLE,
     keys = ["band", "key", "bi", "bj"]
     shape = T.StructType(dealt.schema.fields)
     dealt = dealt.join(classes.select(F.col("rep").alias("node"), "bytes").dropDuplicates(["node"]), "node").select(*shape.names, "bytes")
-    near = cut(dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_screened(SCREEN), shape))
+    near = cut(dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_screened(screen_for(percent, bands * rows, miss)), shape))
     more = near.join(sets, "node").select(*shape.names, "shingles").repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_joined(percent), "a long, b long")
     label = components(links.union(cut(more)), spark)
     rep = classes.select("n_shingles", "d1", "d2", "rep").join(label, classes.rep == label.node, "left").select("n_shingles", "d1", "d2", F.coalesce("label", "rep").alias("component_id"))
