@@ -4,7 +4,8 @@ A word is a maximal run of bytes other than 0x20 and 0x09-0x0D.  UTF-8 never
 uses those bytes inside a multi-byte character, so bytes and code points agree
 on where words begin and end.  Texts are handled in slices of about
 ``SLICE_BYTES`` (a longer text is a slice of its own), so that temporary arrays
-stay small whatever the size of an Arrow batch.
+stay small whatever the size of an Arrow batch.  A long text takes its own size
+and some 30 to 100 bytes for each of its words.
 """
 
 from __future__ import annotations
@@ -16,7 +17,6 @@ import pyarrow as pa
 
 SLICE_BYTES = 1 << 20
 U64 = np.uint64
-BASE = 0x9E3779B97F4A7C15 | 1
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 #: Every ASCII sign but letters and digits: words without their punctuation.
@@ -25,7 +25,8 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 #: Odd multipliers that give each place of a window its own weight.
 PLACE = [U64(x | 1) for x in np.random.default_rng(20240229).integers(1 << 62, 1 << 63, 64, dtype=np.int64).tolist()]
-_powers: dict[str, np.ndarray] = {}
+#: Masks that leave the first 0 to 8 bytes of a little-endian whole number.
+TAIL = np.array([(1 << 8 * i) - 1 for i in range(9)], U64)
 
 
 def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
@@ -36,16 +37,6 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers.get("up", ())) < n:
-        size = max(n, SLICE_BYTES + SLICE_BYTES // 4)
-        for name, base in (("up", BASE), ("down", pow(BASE, -1, 1 << 64))):
-            x = np.full(size, base, U64)
-            x[0] = 1
-            _powers[name] = np.multiply.accumulate(x)
-    return _powers["up"][:n], _powers["down"][:n]
-
-
 def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Offsets (int64, one more than rows) and UTF-8 bytes of a string column; a null is empty."""
     column = column.cast(pa.large_string()) if not pa.types.is_large_string(column.type) else column
@@ -72,41 +63,68 @@ class Words:
     ``start`` and ``end`` are byte places, ``hash`` a 64-bit hash of each word
     (exact bytes, or with A-Z lowered), ``first`` the number of the first word
     of each text (one more entry than texts).
+
+    A word is hashed in pieces of eight bytes.  Each piece is mixed with its
+    place before the pieces are summed, so that no rearrangement of a word's
+    letters gives the same sum.  Bytes are looked at in runs of ``SLICE_BYTES``;
+    besides these a slice holds 24 bytes a word, whatever the length of its texts.
     """
 
     def __init__(self, off: np.ndarray, chars: np.ndarray, lower: bool = False, blank: np.ndarray = SPACE):
         off = off - off[0]
-        space = blank[chars]
         n = len(chars)
-        if n:
-            opens = np.empty(n, bool)
-            opens[0] = True
-            opens[1:] = space[:-1]
-            inner = off[(off > 0) & (off < n)]
-            opens[inner] = True
-            opens &= ~space
-            closes = np.empty(n, bool)
-            closes[-1] = True
-            closes[:-1] = space[1:]
-            closes[inner - 1] = True
-            closes &= ~space
-            self.start, self.end = np.flatnonzero(opens), np.flatnonzero(closes) + 1
-        else:
-            self.start = self.end = np.zeros(0, np.int64)
+        opens, closes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for a in range(0, n, SLICE_BYTES):
+            b = min(n, a + SLICE_BYTES)
+            space = np.ones(b - a + 2, bool)  # with the bytes before and behind
+            space[max(0, 1 - a) : b - a + 1 + (b < n)] = blank[chars[max(0, a - 1) : b + 1]]
+            bounds = off[np.searchsorted(off, a) : np.searchsorted(off, b, "right")] - a
+            inner = ~space[1:-1]
+            begins, stops = inner & space[:-2], inner & space[2:]
+            at = bounds[bounds < b - a]
+            begins[at] = inner[at]
+            at = bounds[bounds > 0] - 1
+            stops[at] = inner[at]
+            opens.append(np.flatnonzero(begins) + a)
+            closes.append(np.flatnonzero(stops) + a + 1)
+        self.start, self.end = np.concatenate(opens), np.concatenate(closes)
         self.first = np.searchsorted(self.start, off)
-        up, down = _tables(n + 1)
-        total = np.zeros(n + 1, U64)
-        if n:
-            np.cumsum(((LOWER[chars] if lower else chars).astype(U64) + U64(1)) * up[:n], out=total[1:])
-        length = (self.end - self.start).astype(U64)
-        self._total, self._down = total, down
-        self.hash = mix((total[self.end] - total[self.start]) * down[self.start] ^ length * PLACE[63])
+        self._chars, self._table = chars, LOWER if lower else None
+        self.hash = np.zeros(len(self.start), U64)
+        low = 0
+        while low < len(self.start):
+            high = max(low + 1, int(np.searchsorted(self.end, self.start[low] + SLICE_BYTES, "right")))
+            self.hash[low:high] = self._hashed(self.start[low:high], self.end[low:high] - self.start[low:high])
+            low = high
+
+    def _eights(self, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """The ``size`` bytes (8 at most) from each place on as whole numbers; bytes behind these are 0."""
+        low = int(at[0])
+        part = self._chars[low : int(at[-1]) + 8]
+        held = np.zeros(int(at[-1]) - low + 8, np.uint8)
+        held[: len(part)] = part if self._table is None else self._table[part]
+        found = np.ndarray((len(held) - 7,), "<u8", held, strides=(1,))[at - low]
+        return found & TAIL[size]
+
+    def _hashed(self, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+        short = (length <= 8).all()
+        pieces = 1 if short else (length + 7) >> 3
+        if short:
+            total = mix(self._eights(start, length))
+        else:
+            first = np.cumsum(pieces) - pieces
+            number = np.arange(int(pieces.sum())) - np.repeat(first, pieces)
+            at = np.repeat(start, pieces) + 8 * number
+            size = np.minimum(np.repeat(length, pieces) - 8 * number, 8)
+            total = np.add.reduceat(mix(self._eights(at, size) ^ (number.astype(U64) * PLACE[61])), first)
+        return mix(total ^ length.astype(U64) * PLACE[63])
 
     def prefixes(self, length: int) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of the words of more than ``length`` bytes, and hashes of their first ``length`` bytes."""
         at = np.flatnonzero(self.end - self.start > length)
-        start = self.start[at]
-        return at, mix((self._total[start + length] - self._total[start]) * self._down[start], 500 + length)
+        if not len(at):
+            return at, np.zeros(0, U64)
+        return at, mix(self._hashed(self.start[at], np.full(len(at), length)), 500 + length)
 
     def windows(self, size: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of the words at which a window of ``size`` words of one text begins, and its 64-bit hash."""
