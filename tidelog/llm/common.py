@@ -9,24 +9,44 @@ from pyspark.sql import functions as F
 
 #: Sub-groups into which a group is dealt before its rows are numbered.
 SUBGROUPS = 1024
+#: Parts that the rows of one key are dealt to where they are joined.
+SALTS = 64
 
 
-def has_checkpoint_dir(spark: SparkSession) -> None:
-    """Sees to it that reliable checkpoints have a folder.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for tables between two steps, which driver and executors share.
 
-    The cluster names a shared one in ``spark.checkpoint.dir``; only where that
-    is unset, as in tests on one machine, is a folder under the warehouse taken.
+    The cluster names it in ``spark.checkpoint.dir``; only where that is unset, as
+    in tests on one machine, is a folder under the warehouse taken.
     """
     sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        place = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints"
-        sc.setCheckpointDir(place)
+    held = sc._jsc.sc().getCheckpointDir()
+    place = held.get() if not held.isEmpty() else spark.conf.get("spark.checkpoint.dir", None)
+    if place is None:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
+        place = f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints"
+    return place
 
 
-def cut(df: DataFrame, spark: SparkSession | None = None) -> DataFrame:
-    """Writes the rows to the shared checkpoint folder and goes on from there, so that loops don't grow plans."""
-    has_checkpoint_dir(spark or df.sparkSession)
-    return df.checkpoint(eager=True)
+def written(df: DataFrame) -> DataFrame:
+    """Writes the rows as Parquet to a new shared folder and goes on from there, so that loops don't grow plans and lost
+    executors cost no more than a step.  ``drop`` deletes the folder once nothing reads it any more."""
+    spark = df.sparkSession
+    place = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    df.write.parquet(place)
+    found = spark.read.schema(df.schema).parquet(place)
+    found.__dict__["_shared_place"] = place
+    return found
+
+
+def drop(*tables: DataFrame) -> None:
+    """Deletes the folders of tables that ``written`` wrote."""
+    for df in tables:
+        if (place := df.__dict__.get("_shared_place")) is not None:
+            spark = df.sparkSession
+            path = spark._jvm.org.apache.hadoop.fs.Path(place)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def keyed_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> list[Column]:
@@ -42,19 +62,16 @@ def keyed_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.select(*keyed_columns(docs, id_col, text_col))
 
 
-def written(df: DataFrame) -> DataFrame:
-    """Writes the rows as Parquet to a new folder beside the shared checkpoints and reads them from there."""
-    spark = df.sparkSession
-    has_checkpoint_dir(spark)
-    place = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{uuid.uuid4().hex}"
-    df.write.parquet(place)
-    return spark.read.parquet(place)
-
-
 def fresh(name: str) -> str:
     return f"__{name}_{uuid.uuid4().hex[:8]}"
 
 
+def fixed(value: Column) -> Column:
+    """The same value, in a column that the optimiser neither copies into conditions on it nor moves: the branch always
+    holds, but hangs on the row's number.  Long expressions that use one another would be spelled out many times over."""
+    return F.when(F.monotonically_increasing_id() >= 0, value)
+
+
 def gapless_rank(df: DataFrame, group: list[str], order: list[str | Column], to: str, subgroups: int = SUBGROUPS) -> DataFrame:
     """Numbers the rows of each group 0, 1, 2 ... without one task ever holding a whole group.
 
@@ -75,29 +92,55 @@ def gapless_rank(df: DataFrame, group: list[str], order: list[str | Column], to:
     return joined.withColumn(to, F.col(base) + number).drop(sub, base, f"{base}_s", *[f"{base}_{i}" for i in range(len(group))])
 
 
-def components(edges: DataFrame, spark: SparkSession) -> DataFrame:
-    """Connected components of ``edges`` (columns a, b; long): one row (node, label) per node of an edge.
+def salt(*by: str) -> Column:
+    return F.pmod(F.xxhash64(*by), F.lit(SALTS)).cast("int")
+
+
+def salts(*by: str) -> Column:
+    """An aggregate: which salts the rows of a group have, a bit for each."""
+    return F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), salt(*by))).alias("salts")
+
+
+def each_salt(table: DataFrame, to: str) -> DataFrame:
+    """Each row once for every salt in its column ``salts``."""
+    held = F.filter(F.sequence(F.lit(0), F.lit(SALTS - 1)), lambda i: F.call_function("getbit", F.col("salts"), i) == 1)
+    return table.withColumn(to, F.explode(held)).drop("salts")
+
+
+def lookup(rows: DataFrame, table: DataFrame, keys: list[str], by: str) -> DataFrame:
+    """``rows`` joined with ``table``, which has a row for each key and in ``salts`` which salts of ``by`` its rows have.
+
+    The rows of a key meet in up to ``SALTS`` parts, and the table's row goes to those that there are, so a key that a
+    third of all rows have doesn't make one task as large as that.
+    """
+    part = fresh("salt")
+    return rows.withColumn(part, salt(by)).join(each_salt(table, part), [*keys, part]).drop(part)
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """Connected components of ``edges`` (columns a, b; long): one row (node, label) for each node of an edge but
+    the smallest of its component.
 
-    Alternates large-star and small-star steps until the edges stand still; each
-    step is a pair of aggregations, so no node's neighbours meet in one task
-    beyond a minimum.  ``label`` is the smallest node of the component.
+    Alternates large-star and small-star steps until the edges stand still.
+    ``label`` is the smallest node of the component.  Each step is an aggregation
+    and a ``lookup`` of its minima, so the edges of a hub are dealt over tasks.
     """
-    now = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), spark)
+    now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
 
     def signature(df: DataFrame) -> tuple:
         return tuple(df.agg(F.count("*"), F.expr("bit_xor(xxhash64(a, b))"), F.expr("sum(cast(b as decimal(38,0)))")).first())
 
     seen = signature(now)
-    if not seen[0]:
-        return now.select(F.col("a").alias("node"), F.col("b").alias("label"))
-    while True:
-        both = now.select("a", "b").union(now.select(F.col("b"), F.col("a")))
-        low = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
-        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+    while seen[0]:
+        both = now.union(now.select(F.col("b"), F.col("a")))
+        low = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"), salts("b"))
+        large = lookup(both, low, ["a"], "b").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         # small star: every node hands its lower neighbours and itself to the lowest of them
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").union(low.select("a", F.col("m").alias("b"))).distinct()
-        now = cut(small, spark)
+        low = large.groupBy("a").agg(F.min("b").alias("m"), salts("b"))
+        small = lookup(large, low, ["a"], "b").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").union(low.select("a", F.col("m").alias("b"))).distinct()
+        old, now = now, written(small)
+        drop(old)
         was, seen = seen, signature(now)
         if was == seen:
-            return now.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("label"))
+            break
+    return now.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("label"))

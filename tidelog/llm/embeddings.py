@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import components, cut
+from tidelog.llm.common import components, written
 from tidelog.llm.kernels import runs
 
 THRESHOLD = 0.93
@@ -207,7 +207,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, lists: int
     odd = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     good = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.coalesce(~odd & F.exists("v", lambda x: x != 0), F.lit(False))
     known = rows.where(good).withColumns({"dim": F.size("v"), "d1": F.xxhash64("v"), "d2": F.xxhash64(F.lit(1), "v")})
-    classes = cut(known.groupBy("label", "dim", "d1", "d2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.first("v").alias("v")))
+    classes = written(known.groupBy("label", "dim", "d1", "d2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.first("v").alias("v")))
     total, width = classes.agg(F.count("*"), F.max("dim")).first()
     if not total:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
@@ -215,13 +215,13 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, lists: int
     unit = _unit(_scaled(_matrix(chosen, width), kind))
     index = Index.fit(unit, lists or max(1, min(LISTS, isqrt(total) // 4)))
     reach = sqrt(max(0.0, 2 - 2 * threshold))
-    assigned = cut(classes.select("label", "dim", "rep", "n", "v").mapInArrow(_assigned(index, width, threshold, kind), ASSIGNED))
+    assigned = written(classes.select("label", "dim", "rep", "n", "v").mapInArrow(_assigned(index, width, threshold, kind), ASSIGNED))
 
     part = ["label", "dim", "list"]
     members = assigned.withColumnRenamed("home", "list").drop("probes").withColumn("side", F.lit(0))
     asking = assigned.select("label", "dim", "rep", "n", "vector", F.explode("probes").alias("list"), F.lit(None).cast("binary").alias("codes"), F.lit(None).cast("float").alias("error"), F.lit(1).alias("side"))
     pieces = lambda df, to: df.groupBy(*part).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(to))
-    size = cut(pieces(members, "mn").join(pieces(asking, "qn"), part))
+    size = written(pieces(members, "mn").join(pieces(asking, "qn"), part))
     of = lambda n: F.pmod(F.xxhash64("rep", "label"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     members = members.join(size, part).withColumn("mb", of("mn")).withColumn("qb", every("qn"))
@@ -229,9 +229,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, lists: int
     keys = [*part, "mb", "qb"]
     shape = [*keys[:2], "list", "mb", "qb", "side", "rep", "n", "vector", "codes", "error"]
     both = members.select(*shape).union(asking.select(*shape)).repartition(*keys).sortWithinPartitions(*keys, "side")
-    found = cut(both.mapInArrow(_linked(index, threshold, reach, kind), "a long, b long, n long"))
+    found = written(both.mapInArrow(_linked(index, threshold, reach, kind), "a long, b long, n long"))
 
-    label = components(found.where("n is null").select("a", "b"), spark)
+    label = components(found.where("n is null").select("a", "b"))
     links = found.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("others"))
     named = classes.select("label", "dim", "d1", "d2", "rep", "n").join(label.select(F.col("node").alias("rep"), F.col("label").alias("component")), "rep", "left").join(links.withColumnRenamed("node", "rep"), "rep", "left")
     named = named.select("label", "dim", "d1", "d2", F.coalesce("component", "rep").alias("component"), (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))

@@ -7,17 +7,24 @@ permutation has at that rank, and each place keeps the smallest offer.  Ranks
 are worked off for all shingles of a slice at once, and a document leaves as
 soon as its largest kept offer is under the next rank: no later offer can win.
 
-Documents with equal sets form one class.  Class representatives that agree on
-a whole band are candidates; candidates are confirmed on full sets:
+Documents with equal sets form one class.  Classes that agree on a whole band
+are candidates; candidates are confirmed on full sets:
 
-1. Each representative meets the lowest representative of all its buckets.  The
-   links found join most groups.
+1. Each class meets the lowest class of all its buckets.  The links found join
+   most groups.
 2. Buckets that still hold more than one component are worked off in blocks of
-   at most ``BLOCK`` members against ``BLOCK`` members.  Signatures (a byte a
-   place) first drop members with no counterpart of another component near the
-   threshold; full sets, as products of incidence matrices, decide the rest.  A
-   block writes a spanning forest of the links between its components, never
+   at most ``BLOCK`` members against ``BLOCK`` members.  The members of a
+   bucket's largest component meet only those of the others, so a bucket of one
+   great group and a few more costs its members times those few.  Signatures (a
+   byte a place) first drop members with no counterpart of another component near
+   the threshold; full sets, as products of incidence matrices, decide the rest.
+   A block writes a spanning forest of the links between its components, never
    its pairs, so no link that could join two components is lost.
+
+Components are searched over ids (a class goes by its smallest), and rows that
+share an id join their classes.  The members of a bucket, a class or a hub never
+meet in one task: they are dealt over parts, and what they need goes to each
+part that there is (``lookup``).
 """
 
 from __future__ import annotations
@@ -31,10 +38,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidelog.llm.common import components, cut, keyed_texts
+from tidelog.llm.common import components, drop, each_salt, keyed_texts, lookup, salt, salts, written
 from tidelog.llm.kernels import PLACE, U64, Words, each_slice, mix, runs
 
 SHINGLE, ROWS = 5, 5
+#: Sets that agree in these are taken as equal.
+EQUAL = ["n_shingles", "d1", "d2"]
 #: How often a pair at the threshold may share no band; 20 bands of 5 at 0.85 do about 8 times in a million.
 MISS = 1e-5
 #: Members of a bucket that one block takes from each side, and columns of an incidence matrix held at a time.
@@ -128,6 +137,11 @@ def _sum(value: np.ndarray, first: np.ndarray) -> np.ndarray:
     return (total[first[1:]] - total[first[:-1]]).view(np.int64)
 
 
+def _digests(value: np.ndarray, first: np.ndarray) -> list[pa.Array]:
+    """The columns EQUAL: size and two digests of each set."""
+    return [pa.array(np.diff(first).astype(np.int64)), pa.array(_sum(mix(value, 11), first)), pa.array(_sum(mix(value, 12), first))]
+
+
 def _rows(table: np.ndarray) -> pa.Array:
     """A binary value for each row of a table of bytes."""
     size = table.shape[1]
@@ -143,8 +157,8 @@ def _signed(bands: int, rows: int, size: int):
                 sign = superminhash(value, first, bands * rows)
                 keys = band_keys(sign, bands, rows)
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(a, b - a), pa.array(np.diff(first).astype(np.int64)), pa.array(_sum(mix(value, 11), first)), pa.array(_sum(mix(value, 12), first)), pa.ListArray.from_arrays(pa.array(np.arange(0, (b - a) * bands + 1, bands, dtype=np.int32)), pa.array(keys.reshape(-1))), _rows((mix(np.ascontiguousarray(sign).view(U64), 5) >> U64(56)).astype(np.uint8))],
-                    names=["doc_id", "n_shingles", "d1", "d2", "bands", "bytes"],
+                    [ids.slice(a, b - a), *_digests(value, first), pa.ListArray.from_arrays(pa.array(np.arange(0, (b - a) * bands + 1, bands, dtype=np.int32)), pa.array(keys.reshape(-1))), _rows((mix(np.ascontiguousarray(sign).view(U64), 5) >> U64(56)).astype(np.uint8))],
+                    names=["doc_id", *EQUAL, "bands", "bytes"],
                 )
 
     return run
@@ -157,23 +171,19 @@ def _packed(size: int):
             for a, b, _, words in each_slice(batch.column(1), lower=True):
                 value, first = shingle_sets(words, size)
                 data = pa.LargeBinaryArray.from_buffers(pa.large_binary(), b - a, [None, pa.py_buffer((first * 8).astype(np.int64)), pa.py_buffer(value)])
-                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), data.cast(pa.binary())], names=["node", "shingles"])
+                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), *_digests(value, first), data.cast(pa.binary())], names=["rep", *EQUAL, "shingles"])
 
     return run
 
 
 def _confirmed(percent: int):
-    """Keeps (a, b) whose sets meet ``100 * intersection >= percent * union``."""
+    """Keeps (a, b) whose sets ``sa`` and ``sb`` meet ``100 * intersection >= percent * union``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            left, right = batch.column(2), batch.column(3)
-            last, one = None, np.zeros(0, U64)
-            for i, (a, x) in enumerate(zip(batch.column(0).to_pylist(), left, strict=True)):
-                if a != last:
-                    last, one = a, np.frombuffer(x.as_buffer(), U64)
-                other = np.frombuffer(right[i].as_buffer(), U64)
+            for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
+                one, other = np.frombuffer(x.as_buffer(), U64), np.frombuffer(y.as_buffer(), U64)
                 small, large = (one, other) if len(one) <= len(other) else (other, one)
                 if 100 * len(small) < percent * len(large) or not len(small):
                     continue
@@ -233,7 +243,7 @@ def _joined(percent: int):
             both += part @ part.T
         both = np.rint(both).astype(np.int64)
         linked = wanted & (100 * both >= percent * (size[:, None] + size[None, :] - both))
-        node, label = rows.column(4).to_numpy(), rows.column(5).to_pylist()
+        label = rows.column(5).to_pylist()
         parent: dict[int, int] = {x: x for x in label}
 
         def root(x: int) -> int:
@@ -246,13 +256,40 @@ def _joined(percent: int):
             a, b = root(label[i]), root(label[j])
             if a != b:
                 parent[max(a, b)] = min(a, b)
-                links.append((int(node[i]), int(node[j])))
+                links.append((label[i], label[j]))
         if links:
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([x for _, x in links], pa.int64())], names=["a", "b"])
 
     return runs(work)
 
 
+def _links_to_lowest(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b: ids) between each class and the lowest class of its buckets.  The set of a class that many meet goes to
+    each part that those are dealt to."""
+    pairs = members.where("node <> lo").groupBy("node").agg(F.min("lo").alias("hub"))
+    one = pairs.join(sets.select("node", F.col("rep").alias("b"), F.col("shingles").alias("sb")), "node").select("hub", salt("node").alias("part"), "b", "sb")
+    hubs = each_salt(pairs.groupBy("hub").agg(salts("node")), "part")
+    two = hubs.join(sets.select(F.col("node").alias("hub"), F.col("rep").alias("a"), F.col("shingles").alias("sa")), "hub")
+    return written(one.join(two, ["hub", "part"]).select("a", "b", "sa", "sb").mapInArrow(_confirmed(percent), "a long, b long"))
+
+
+def _dealt(members: DataFrame, label: DataFrame) -> DataFrame:
+    """(band, key, bi, bj, node, label, side): members of buckets with several components, dealt to blocks."""
+    place = ["band", "key"]
+    named = members.select(*place, "node", "rep").join(label.select(F.col("node").alias("rep"), "label"), "rep", "left").select(*place, "node", F.coalesce("label", "rep").alias("label"))
+    sizes = named.groupBy(*place, "label").agg(F.count("*").alias("n"), salts("node")).groupBy(*place).agg(F.sum("n").alias("n"), F.count("*").alias("parts"), F.max(F.struct("n", "label")).alias("top"), F.bit_or("salts").alias("salts"))
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    largest = F.col("top.n")
+    # the largest component's members are dealt to blocks 0 ... nt - 1, the others' to nt ... nt + no - 1
+    open_ = sizes.where("parts > 1").select(*place, "salts", F.col("top.label").alias("top"), blocks(largest).alias("nt"), blocks(F.col("n") - largest).alias("no"))
+    found = lookup(named, open_, place, "node")
+    mine = F.col("label") == F.col("top")
+    own = F.when(mine, F.pmod(F.xxhash64("node"), F.col("nt"))).otherwise(F.col("nt") + F.pmod(F.xxhash64("node"), F.col("no"))).cast("int")
+    others = F.explode(F.sequence(F.when(mine, F.col("nt")).otherwise(F.lit(0)), F.col("nt") + F.col("no") - 1))
+    found = found.withColumn("own", own).withColumn("other", others)
+    return found.select(*place, F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"), "node", "label", F.col("own").alias("side"))
+
+
 def near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = SHINGLE, bands: int | None = None, rows: int = ROWS, miss: float = MISS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row (doc_id, n_shingles, component_id, kept) for each row of ``docs``.
 
@@ -260,38 +297,47 @@ def near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = SHINGLE,
     threshold shares no band with a probability of at most ``miss``: 20 bands of 5
     at 0.85, (1 - 0.85**5)**20 being about 8 in a million.  A null text, or one
     without words, has no shingles and links with nothing.  A null id is its own
-    component (null) and is kept.  Rows that share an id are one node.  An empty
-    table gives an empty result.
+    component (null) and is kept.  Rows that share an id are one node, with the
+    links of all their texts.  Repeated rows get equal results.  A very long text
+    takes memory in proportion, some 15 times its size.  Further columns of
+    ``docs`` are left out.  An empty table gives an empty result.
     """
-    spark = docs.sparkSession
     bands = bands or bands_for(percent, rows, miss)
     docs = keyed_texts(docs, id_col, text_col)
-    signed = cut(docs.mapInArrow(_signed(bands, rows, shingle), "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>, bytes binary"))
+    digests = ", ".join(f"{c} long" for c in EQUAL)
+    signed = written(docs.mapInArrow(_signed(bands, rows, shingle), f"doc_id long, {digests}, bands array<long>, bytes binary").withColumn("turn", F.monotonically_increasing_id()))
     filled = signed.where("n_shingles > 0 and doc_id is not null")
-    classes = cut(filled.groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("bytes").alias("bytes")))
-    members = classes.select(F.col("rep").alias("node"), F.posexplode("bands").alias("band", "key"))
-    crowded = members.groupBy("band", "key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("band", "key", "lo")
-    members = cut(members.join(crowded, ["band", "key"]))
-    sets = cut(docs.join(members.select("node").distinct(), F.col("doc_id") == F.col("node"), "left_semi").mapInArrow(_packed(shingle), "node long, shingles binary").dropDuplicates(["node"]))
-    pairs = members.where("node <> lo").groupBy(F.col("node").alias("b")).agg(F.min("lo").alias("a"))
-    both = pairs.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b").join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a")
-    links = cut(both.select("a", "b", "sa", "sb").mapInArrow(_confirmed(percent), "a long, b long"))
-    label = components(links, spark)
-
-    named = members.drop("lo").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    open_ = named.groupBy("band", "key").agg(F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("node"), F.col("nb")).cast("int")
-    dealt = named.join(open_.select("band", "key", blocks.alias("nb"), "n"), ["band", "key"]).withColumn("own", own)
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    dealt = dealt.select("band", "key", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"), "node", "label", F.col("own").alias("side"))
-    keys = ["band", "key", "bi", "bj"]
+    classes = filled.groupBy(*EQUAL).agg(F.min("doc_id").alias("rep"), salts("turn"), F.first("bands").alias("bands"), F.first("bytes").alias("bytes"))
+    classes = written(classes.withColumn("node", F.monotonically_increasing_id()))
+
+    place = ["band", "key"]
+    members = classes.select("node", "rep", F.posexplode("bands").alias("band", "key"))
+    crowded = members.groupBy(*place).agg(F.min("node").alias("lo"), F.max("node").alias("hi"), salts("node")).where("lo < hi").drop("hi")
+    members = written(lookup(members, crowded, place, "node"))
+    used = members.select("node").distinct().join(classes.select("node", "rep", *EQUAL), "node")
+    sets = docs.join(used.select("rep").distinct(), F.col("doc_id") == F.col("rep"), "left_semi").mapInArrow(_packed(shingle), f"rep long, {digests}, shingles binary")
+    sets = written(sets.join(used, ["rep", *EQUAL]).dropDuplicates(["node"]).select("node", "rep", "shingles"))
+    links = _links_to_lowest(members, sets, percent)
+    # rows that share an id join their classes
+    several = filled.groupBy("doc_id").agg(F.min(F.struct(*EQUAL)).alias("lo"), F.max(F.struct(*EQUAL)).alias("hi")).where("lo < hi").select("doc_id")
+    shared = filled.select("doc_id", *EQUAL).join(several, "doc_id", "left_semi").distinct().join(classes.select(*EQUAL, "rep"), EQUAL)
+    label = written(components(links.union(shared.select("doc_id", "rep"))))
+
+    keys = [*place, "bi", "bj"]
+    dealt = _dealt(members, label)
     shape = T.StructType(dealt.schema.fields)
-    dealt = dealt.join(classes.select(F.col("rep").alias("node"), "bytes").dropDuplicates(["node"]), "node").select(*shape.names, "bytes")
-    near = cut(dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_screened(screen_for(percent, bands * rows, miss)), shape))
+    dealt = dealt.join(classes.select("node", "bytes"), "node").select(*shape.names, "bytes")
+    near = written(dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_screened(screen_for(percent, bands * rows, miss)), shape))
     more = near.join(sets, "node").select(*shape.names, "shingles").repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_joined(percent), "a long, b long")
-    label = components(links.union(cut(more)), spark)
-    rep = classes.select("n_shingles", "d1", "d2", "rep").join(label, classes.rep == label.node, "left").select("n_shingles", "d1", "d2", F.coalesce("label", "rep").alias("component_id"))
-    out = signed.select("doc_id", "n_shingles", "d1", "d2").join(rep, ["n_shingles", "d1", "d2"], "left")
-    component = F.when((F.col("n_shingles") == 0) | F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    more = written(more)
+    joined = components(more)
+    # (rep, label): the label of the first search, and where the second joined that to another
+    final = label.groupBy("label").agg(salts("node")).join(joined.select(F.col("node").alias("label"), F.col("label").alias("lower")), "label", "left")
+    final = lookup(label, final, ["label"], "node").select(F.col("node").alias("rep"), F.coalesce("lower", "label").alias("component_id"))
+    # ids that the first search has no row for, met or not, can still have been joined in the second
+    alone = joined.join(label.select("node"), "node", "left_anti").select(F.col("node").alias("rep"), F.col("label").alias("component_id"))
+    named = classes.select(*EQUAL, "rep", "salts").join(final.union(alone), "rep", "left").select(*EQUAL, "salts", F.coalesce("component_id", "rep").alias("component_id"))
+    out = lookup(filled.select("doc_id", "turn", *EQUAL), named, EQUAL, "turn").select("doc_id", "n_shingles", "component_id")
+    rest = signed.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    drop(members, sets, links, near)
+    return out.union(rest).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

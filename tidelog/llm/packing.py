@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import cut, gapless_rank, keyed_texts
+from tidelog.llm.common import gapless_rank, keyed_texts, written
 
 SIZE, LARGE, END = 1024, 0.25, 2
 #: Numbers of groups that are tried; 0 takes no piece as large.  The plan with the fewest sequences is taken.
@@ -298,5 +298,5 @@ def pack_documents(docs: DataFrame, path: str | None = None, size: int = SIZE) -
 
     Repeated rows are packed each on its own, a null id likewise.  An empty table gives an empty result.
     """
-    pieces = cut(tokenised_pieces(docs, path, size))
+    pieces = written(tokenised_pieces(docs, path, size))
     return pack(pieces, size).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
