@@ -9,7 +9,9 @@ the number of documents, by the linear grouping scheme:
 2. The few rounded sizes are packed by whole configurations: a linear programme
    over configurations is solved by column generation, its counts are rounded
    down, and what remains is placed first-fit decreasing.
-3. Actual pieces take the places of the rounded ones, which only shrinks them.
+3. Actual pieces take the places of the rounded ones: the largest of the group,
+   and in the last place of a configuration the largest piece of any group that
+   still fits, so that what rounding up left free is used.
 4. The small pieces go, largest first, best fit into the gaps, then into new
    sequences.
 
@@ -33,8 +35,10 @@ from pyspark.sql import functions as F
 from tidelog.llm.common import gapless_rank, keyed_texts, written
 
 SIZE, LARGE, END = 1024, 0.25, 2
-#: Numbers of groups that are tried; 0 takes no piece as large.  The plan with the fewest sequences is taken.
-GROUPS = (0, 24, 64)
+#: Numbers of groups that are tried.  The plan with the fewest sequences is taken.
+GROUPS = (16, 32, 64, 96)
+#: What stands for the vocabulary's special token in a text, and its id.
+SPECIAL, SPECIAL_ID = "<|endoftext|>", 50256
 #: Distinct chunks whose ids a worker remembers at a time.
 REMEMBERED = 400_000
 
@@ -63,7 +67,13 @@ class _Chunks(dict):
         return ids
 
     def text(self, text: str) -> bytes:
-        """Ids of a whole text.
+        """Ids of a whole text, in which the special token's string stands for the token."""
+        if SPECIAL not in text:
+            return self._plain(text)
+        return np.array([SPECIAL_ID], "<u4").tobytes().join(map(self._plain, text.split(SPECIAL)))
+
+    def _plain(self, text: str) -> bytes:
+        """Ids of a text without special tokens.
 
         A single space between characters other than white space always begins a
         token, so there the text can be cut; texts with other white space beside
@@ -189,18 +199,26 @@ def _grouped(histogram: dict[int, int], size: int, large: float, groups: int) ->
     need = np.array([sum(left[x] for x in m) for m in members], np.int64)
 
     def substitute(pattern: np.ndarray, times: int) -> None:
-        """Puts the largest pieces still there in the places of the rounded ones, in runs of equal content."""
+        """Puts actual pieces in the places of the rounded ones, in runs of equal content: in all places but the last the
+        largest of the group, in the last the largest piece of any group that fits, which is one of its own or larger."""
+        groups = [i for i, n in enumerate(pattern.tolist()) for _ in range(n)]
         while times > 0:
-            want = Counter()
-            share = times
-            chosen: list[int] = []
-            for i, n in enumerate(pattern.tolist()):
-                for _ in range(n):
-                    x = next(y for y in members[i] if left[y] - want[y] > 0)
-                    want[x] += 1
-                    chosen.append(x)
-            for x, n in want.items():
-                share = min(share, left[x] // n)
+            want, room, chosen = Counter(), size, []
+            for i in groups[:-1]:
+                x = next((y for y in members[i] if left[y] - want[y] > 0), None)
+                if x is None:
+                    return
+                want[x] += 1
+                chosen.append(x)
+                room -= x
+            at = bisect.bisect_right(big, room) - 1
+            while at >= 0 and left[big[at]] - want[big[at]] <= 0:
+                at -= 1
+            if at < 0:
+                return
+            want[big[at]] += 1
+            chosen.append(big[at])
+            share = min(times, *[left[x] // n for x, n in want.items()])
             for x, n in want.items():
                 left[x] -= n * share
             open_runs[tuple(chosen)] += share
@@ -210,9 +228,7 @@ def _grouped(histogram: dict[int, int], size: int, large: float, groups: int) ->
     if len(sizes):
         for pattern, times in sorted(configurations(sizes, need, size), key=lambda p: -int(p[0] @ sizes)):
             if pattern.sum():
-                held = [sum(left[x] for x in m) for m in members]
-                fits = min(times, *[int(held[i] // n) for i, n in enumerate(pattern) if n])
-                substitute(pattern, fits)
+                substitute(pattern, times)
     # gaps: free tokens -> contents with a count; what is left goes best fit, largest first
     gaps: dict[int, Counter[tuple[int, ...]]] = defaultdict(Counter)
     for content, count in open_runs.items():
@@ -296,7 +312,11 @@ def tokenised_pieces(docs: DataFrame, path: str | None = None, size: int = SIZE,
 def pack_documents(docs: DataFrame, path: str | None = None, size: int = SIZE) -> DataFrame:
     """One row for each piece of each row of ``docs``: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
-    Repeated rows are packed each on its own, a null id likewise.  An empty table gives an empty result.
+    A null or empty text has the end token only.  Repeated rows are packed each on
+    its own, a null id likewise; pieces of one length take their places in order of
+    doc_id and piece.  A very long text is cut into as many pieces as it needs, and
+    takes some 20 times its size while it is encoded.  Further columns are left
+    out.  An empty table gives an empty result.
     """
     pieces = written(tokenised_pieces(docs, path, size))
     return pack(pieces, size).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
