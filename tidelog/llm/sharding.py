@@ -1,15 +1,22 @@
 """Hierarchical weighted hash tree: rows go to shards by weighted draws at region, rack and shard level.
 
-Every shard draws ``-ln(u) / weight`` from a hash of the row's key and its own
-number.  The draw of a rack is the least draw of its shards and that of a region
-the least of its racks, which is distributed as a draw of its own by the node's
-whole weight.  A row descends from level to level to the least draw.  Because a
-node's draw changes only through the shard whose weight changes, a shard that
-is added takes rows only into itself, one that is emptied gives up only its
-own, and a changed weight moves rows only into or out of that shard, whatever
-subtree it stands in.
-
-Only DataFrame functions run here.  The law kept is ``key``.
+At each level every child of the node that a row has come to draws
+``-ln(u) / weight`` from a hash of the row's key and the child's own level and
+number; the row goes on to the least draw.  A node weighs what its shards weigh
+together.  So a row's way hangs on the weights along it only: a changed weight
+moves rows into or out of the subtrees whose weights change, from the region
+down, and leaves the others' rows where they are.  A region gets rows in
+proportion to its weight, a rack to its share of the region, and so on.
+
+A row costs a hash for each child of the nodes on its way, so the number of
+expressions follows the largest fan-out of each level, not the number of shards.
+With n shards, racks and regions of about n ** (1/3) members are best.
+
+Shards beyond the planned ones stand in regions of their own.  A further shard
+then changes no other node's weight and takes rows only into itself, which is
+the law ``key``.
+
+Only DataFrame functions run here.
 """
 
 from __future__ import annotations
@@ -17,68 +24,82 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import gapless_rank
+from tidelog.llm.common import fixed, fresh, gapless_rank
 
 #: Shards in a rack, racks in a region.
-RACK, REGION = 4, 3
+RACK, REGION = 4, 4
+LEVELS = ("region", "rack", "shard")
 
+Tree = list[list[list[tuple[int, float]]]]
 
-def tree(weights: list[float], rack: int = RACK, region: int = REGION) -> list[list[list[int]]]:
-    """Shard numbers as regions of racks of shards, filled in order, so that a further shard opens no other place anew."""
-    racks = [list(range(i, min(i + rack, len(weights)))) for i in range(0, len(weights), rack)]
-    return [racks[i : i + region] for i in range(0, len(racks), region)]
 
+def layout(weights: list[float], planned: int, rack: int = RACK, region: int = REGION) -> Tree:
+    """Regions of racks of (shard, weight): the first ``planned`` shards fill racks and regions in order, each further one
+    has a region of its own."""
+    shards = list(enumerate(weights))
+    inner = shards[:planned]
+    racks = [inner[i : i + rack] for i in range(0, len(inner), rack)]
+    return [racks[i : i + region] for i in range(0, len(racks), region)] + [[[s]] for s in shards[planned:]]
 
-def _draw(key: Column, shard: int, weight: float) -> Column:
-    """An exponential draw of rate ``weight``; 53 bits of a hash give a uniform number over 0 and up to 1."""
-    bits = F.shiftrightunsigned(F.xxhash64(F.lit(shard), key, F.lit(0x5EED)), 11)
-    return -F.log((bits.cast("double") + 1.0) / F.lit(2.0**53)) / F.lit(float(weight))
 
+def _uniform(*parts: Column) -> Column:
+    """A number over 0 and up to 1 from 53 bits of a hash."""
+    return (F.shiftrightunsigned(F.xxhash64(*parts), 11).cast("double") + 1.0) / F.lit(2.0**53)
 
-def _least(names: list[str], values: list, otherwise) -> Column:
-    """The value that goes with the least of the named columns (the first of equals)."""
-    low = F.least(*[F.col(n) for n in names]) if len(names) > 1 else F.col(names[0])
-    pick = None
-    for n, v in zip(names[:-1], values[:-1], strict=True):
-        pick = F.when(F.col(n) == low, v) if pick is None else pick.when(F.col(n) == low, v)
-    return values[-1] if pick is None else pick.otherwise(values[-1])
 
-
-def assign(df: DataFrame, key: str, weights: list[float], to: str = "shard", rack: int = RACK, region: int = REGION) -> DataFrame:
-    """Adds the shard (int) that the row descends to.  A shard of weight 0 gets no rows; all weights 0 are an error.
+def descend(df: DataFrame, key: str, tree: Tree, to: str = "shard") -> DataFrame:
+    """Adds the shard (int) that the row descends to.  Shards of weight 0 get no rows; all weights 0 are an error.
 
     A null key draws like any other value, so all null keys meet in one shard.
     """
+    weigh = lambda node: node[1] if isinstance(node, tuple) else sum(map(weigh, node))
+    lead = lambda node: node[0] if isinstance(node, tuple) else lead(node[0])
+    of = lambda values, at: F.get(F.lit(values), at)
+    own, here, parents = df.columns, None, [tree]
+    for depth, level in enumerate(LEVELS):
+        # the nodes of a level, in order of their parents; a node is known by its first shard
+        live = [[node for node in children if weigh(node) > 0] for children in parents]
+        nodes = [node for children in live for node in children]
+        if not nodes:
+            raise ValueError("no shard has a weight")
+        counts = [len(children) for children in live]
+        starts = [sum(counts[:i]) for i in range(len(counts))]
+        ids, weights = [lead(node) for node in nodes], [float(weigh(node)) for node in nodes]
+        first, most = (F.lit(0), F.lit(counts[0])) if here is None else (of(starts, here), of(counts, here))
+        offers = []
+        for j in range(max(counts)):
+            at = first + j
+            draw = -F.log(_uniform(F.lit(depth), of(ids, at), F.col(key), F.lit(0x5EED))) / of(weights, at)
+            offers.append(F.when(F.lit(j) < most, F.struct(draw.alias("draw"), at.alias("at"))))
+        name = fresh(level)
+        df = df.withColumn(name, fixed((F.least(*offers) if len(offers) > 1 else offers[0])["at"]))
+        here, parents = F.col(name), nodes
+    return df.select(*own, of(ids, here).cast("int").alias(to))
+
+
+def assign(df: DataFrame, key: str, weights: list[float], to: str = "shard") -> DataFrame:
+    """The same without a tree, to compare with: every shard draws, and a changed weight moves rows into or out of its own
+    shard only.  A row costs a hash for each shard."""
     if not any(w > 0 for w in weights):
         raise ValueError("no shard has a weight")
-    levels = [[[s for s in r if weights[s] > 0] for r in g] for g in tree(weights, rack, region)]
-    levels = [[r for r in g if r] for g in levels]
-    levels = [g for g in levels if g]
-    name = lambda *at: "__draw_" + "_".join(map(str, (to, *at)))
-    keep = df.columns
-    shards = {name("s", s): _draw(F.col(key), s, weights[s]) for g in levels for r in g for s in r}
-    out = df.withColumns(shards)
-    low = lambda names: F.least(*[F.col(n) for n in names]) if len(names) > 1 else F.col(names[0])
-    out = out.withColumns({name("r", i, j): low([name("s", s) for s in r]) for i, g in enumerate(levels) for j, r in enumerate(g)})
-    out = out.withColumns({name("g", i): low([name("r", i, j) for j in range(len(g))]) for i, g in enumerate(levels)})
-    in_rack = [[_least([name("s", s) for s in r], [F.lit(s) for s in r], None) for r in g] for g in levels]
-    in_region = [_least([name("r", i, j) for j in range(len(g))], in_rack[i], None) for i, g in enumerate(levels)]
-    shard = _least([name("g", i) for i in range(len(levels))], in_region, None)
-    return out.select(*[F.col(c) for c in keep], shard.cast("int").alias(to))
+    draws = [F.struct((-F.log(_uniform(F.lit(s), F.col(key), F.lit(0x5EED))) / F.lit(float(w))).alias("draw"), F.lit(s).alias("shard")) for s, w in enumerate(weights) if w > 0]
+    return df.withColumn(to, (F.least(*draws) if len(draws) > 1 else draws[0])["shard"].cast("int"))
 
 
 def shard_documents(docs: DataFrame, shards: int = 40, weights: list[float] | None = None) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard for each row of ``docs``.
 
     ``grown_shard`` is the shard with one more, of the mean weight.  A null text
-    has no bytes (size 16, CRC of nothing: 0).  Slots number the rows of a shard
-    without gaps; no task holds a whole shard.  Repeated rows get neighbouring
-    slots.
+    has no bytes (size 16, CRC of nothing: 0), an empty one neither; a very long
+    one costs no more than its own pass.  A null id is a key like any other.
+    Slots number the rows of a shard without gaps; no task holds a whole shard.
+    Repeated rows go to one shard, with neighbouring slots.  Further columns are
+    left out.  An empty table gives an empty result.
     """
     weights = list(weights or [1.0] * shards)
     data = F.encode(F.coalesce(F.col("text"), F.lit("")), "UTF-8")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(data).cast("long") + 16).alias("size"), F.crc32(data).alias("text_crc32"))
-    rows = assign(rows, "doc_id", weights)
-    rows = assign(rows, "doc_id", [*weights, sum(weights) / len(weights)], "grown_shard")
+    rows = descend(rows, "doc_id", layout(weights, len(weights)))
+    rows = descend(rows, "doc_id", layout([*weights, sum(weights) / len(weights)], len(weights)), "grown_shard")
     rows = gapless_rank(rows, ["shard"], ["doc_id", "size", "text_crc32"], "slot")
     return rows.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), "grown_shard")
