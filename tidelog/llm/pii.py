@@ -147,15 +147,23 @@ def _ssn(text: str, key: bytes, back: bool) -> str | None:
     return f"{area + 1 + (area >= 665):03d}-{group + 1:02d}-{serial + 1:04d}"
 
 
+# fixed values: country codes of one and two digits; all others have three
+SHORT_CODES = {"1", "7", "20", "27", "30", "31", "32", "33", "34", "36", "39", "40", "41", "43", "44", "45", "46", "47", "48", "49", "51", "52", "53", "54", "55", "56", "57", "58", "60", "61", "62", "63", "64", "65", "66", "81", "82", "84", "86", "90", "91", "92", "93", "94", "95", "98"}
+
+
 def _phone(text: str, key: bytes, back: bool) -> str | None:
-    """The country code stays; the national digits are permuted."""
-    code = re.match(r"\+\d{1,3}(?=[ .(-])", text)
-    head = code[0] if code else ""
-    rest = text[len(head) :]
-    digits = "".join(filter(str.isdigit, rest))
-    if not 7 <= len(digits) <= 14:
+    """The country code stays and the national digits are permuted among those of their code and number, so that a number
+    keeps its pseudonym however it is spelled.  Ten digits without a code, or behind a 1, are of code 1."""
+    digits = "".join(filter(str.isdigit, text))
+    if text[0] == "+":
+        code = next((digits[:n] for n in (1, 2) if digits[:n] in SHORT_CODES), digits[:3])
+    else:
+        code = "1" if len(digits) == 11 else ""
+    number = digits[len(code) :]
+    if not (len(number) == 10 if code in ("", "1") else 7 <= len(number) <= 14):
         return None
-    return head + _digits(rest, f"{permute(int(digits), 10 ** len(digits), key, 'phone' + str(len(digits)), back):0{len(digits)}d}")
+    new = permute(int(number), 10 ** len(number), key, f"phone {code or 1} {len(number)}", back)
+    return _digits(text, f"{code}{new:0{len(number)}d}")
 
 
 def _card(text: str, key: bytes, back: bool) -> str | None:
@@ -229,8 +237,10 @@ def _replaced(key: bytes, column: int):
 def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     """``docs`` with the valid values in ``text_col`` replaced, plus pii_spans (kind:start:end in the old text, comma-joined).
 
-    A null text stays null and has no spans.  Repeated rows change alike.  A
-    column named pii_spans is replaced.  An empty table gives an empty result.
+    A null text stays null and an empty one empty; neither has spans.  A very long
+    text is read whole, in linear time.  Repeated rows change alike, whatever their
+    id, and all other columns stay as they are.  A column named pii_spans is
+    replaced.  An empty table gives an empty result.
     """
     secret = hashlib.sha256(key.encode()).digest()
     docs = docs.drop("pii_spans")
