@@ -79,11 +79,10 @@ def _logistic(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def _fit(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Logistic regression by Adam on all rows; rare verdicts weigh as much as common ones do."""
-    x = np.hstack([x, np.ones((len(x), 1), np.float32)])
-    share = min(max(float(y.mean()), 1e-6), 1 - 1e-6)
-    weight = np.where(y > 0, 0.5 / share, 0.5 / (1 - share)).astype(np.float32) ** 0.5
+def _fit(x: np.ndarray, y: np.ndarray, use: np.ndarray) -> np.ndarray:
+    """Logistic regression by Adam on the rows in ``use``; rare verdicts weigh as much as common ones do."""
+    share = min(max(float(y[use].mean()), 1e-6), 1 - 1e-6)
+    weight = (use * np.where(y > 0, 0.5 / share, 0.5 / (1 - share)) ** 0.5).astype(np.float32)
     weight /= weight.sum()
     w, m, v = (np.zeros(x.shape[1], np.float32) for _ in range(3))
     for step in range(1, STEPS + 1):
@@ -94,11 +93,16 @@ def _fit(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def fit_chain(docs: list[np.ndarray], toxic: np.ndarray, names: tuple[str, ...] = CHAIN) -> Chain:
-    """Fits the chain on feature sets (arrays of codes) and verdicts."""
+    """Fits the chain on feature sets (arrays of codes) and verdicts.
+
+    A row's fold hangs on the least mixed code of its features, which near copies
+    mostly share, so that they are held out together.
+    """
     toxic = np.asarray(toxic, float)
     empty = Chain(names, np.zeros(0, np.int64), [np.append(np.zeros(k), -3.0) for k in range(len(names))])
     if not len(docs) or toxic.min() == toxic.max():
         return empty
+    fold = np.array([int(mix(d.astype(U64), 77).min()) % FOLDS if len(d) else 0 for d in docs])
     code = np.concatenate(docs)
     row = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
     all_codes, column = np.unique(code, return_inverse=True)
@@ -110,28 +114,36 @@ def fit_chain(docs: list[np.ndarray], toxic: np.ndarray, names: tuple[str, ...]
     place = np.full(len(all_codes), -1)
     place[use] = np.arange(len(use))
     row, at = row[place[column] >= 0], place[column[place[column] >= 0]]
-    x = np.zeros((len(docs), len(use)), np.float32)
+    # one matrix for all models: features, the earlier categories (nothing in them till they are known), a column of ones
+    x = np.zeros((len(docs), len(use) + len(names)), np.float32)
     x[row, at] = 1
     marked = (odds[use] > 2.5) & (with_it[use] >= 0.02 * toxic.sum())
-    hits = x[:, marked].sum(axis=1)
-    x /= np.sqrt(np.maximum(x.sum(axis=1, keepdims=True), 1))
+    hits = x[:, : len(use)] @ marked.astype(np.float32)
+    x /= np.sqrt(np.maximum(np.bincount(row, minlength=len(docs)), 1)).astype(np.float32)[:, None]
+    x[:, -1] = 1
     target = {"insult": toxic * (hits >= 3), "slur": toxic * (hits >= 1), "toxic": toxic}
-    fold = np.arange(len(docs)) % FOLDS
-    weights, earlier = [], np.zeros((len(docs), 0), np.float32)
-    for name in names:
-        y, own = target[name], np.hstack([x, earlier])
-        weights.append(_fit(own, y).astype(float))
-        out = np.zeros(len(docs), np.float32)
-        if name != names[-1]:
+    weights, everything = [], np.ones(len(docs), bool)
+    for k, name in enumerate(names):
+        y, known = target[name], len(use) + k
+        w = _fit(x, y, everything)
+        weights.append(np.append(w[:known], w[-1]).astype(float))
+        if k + 1 < len(names):
+            held_out = np.zeros(len(docs), np.float32)
             for f in range(FOLDS):
-                w = _fit(own[fold != f], y[fold != f])
-                out[fold == f] = _logistic(own[fold == f] @ w[:-1] + w[-1])
-        earlier = np.hstack([earlier, out[:, None]])
+                if (fold == f).any() and (fold != f).any():
+                    held_out[fold == f] = _logistic(x[fold == f] @ _fit(x, y, fold != f))
+            x[:, known] = held_out
     return Chain(names, all_codes[use].astype(np.int64), weights)
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> Chain:
-    """Fits the chain on ``rows`` labelled documents at most, those with the lowest hashes of their ids."""
+    """Fits the chain on ``rows`` labelled documents at most, those with the lowest hashes of their ids.
+
+    Labels with a null id or verdict, or of an unknown document, are left out; an
+    id labelled twice counts twice (``rows`` bounds the labels, twice that the
+    documents they meet).  Without labels of both verdicts the chain finds nothing
+    toxic.
+    """
     sample = labels.where("doc_id is not null and toxic is not null").select(F.col("doc_id").alias("l_id"), "toxic").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     texts = keyed_texts(docs)
     found = texts.join(F.broadcast(sample), F.col("doc_id") == F.col("l_id")).select("doc_id", "text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(_feature_sets, "doc_id long, toxic int, codes array<int>")
@@ -155,8 +167,10 @@ def _scored(chain: Chain):
 def score(docs: DataFrame, chain: Chain, threshold: float = 0.5) -> DataFrame:
     """doc_id, a probability for each category, and is_toxic for each row of ``docs``.
 
-    A null or empty text has no features and gets the models' base rates.
-    Repeated rows get equal scores.  An empty table gives an empty result.
+    A null or empty text has no features and gets the models' base rates.  A very
+    long text is scored whole; its features take some 100 times its number of words
+    in bytes.  Repeated rows get equal scores, whatever their id.  Further columns
+    are left out.  An empty table gives an empty result.
     """
     schema = "doc_id long, " + ", ".join(f"p_{n} double" for n in chain.names)
     out = keyed_texts(docs).mapInArrow(_scored(chain), schema)
