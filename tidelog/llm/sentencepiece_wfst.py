@@ -257,8 +257,8 @@ def _encoded(path: str):
                 same = []
                 for i, text in enumerate(part):
                     said = b"".join(every[off[i] : off[i + 1]])
-                    text = (text or "").replace(SPACE, " ").encode()
-                    same.append((said[1:] if own.prefix else said) == text)
+                    first = own.pieces[values[off[i]]] if off[i + 1] > off[i] else ""
+                    same.append((said[1:] if own.prefix and said[:1] == b" " and first[:1] == SPACE else said) == (text or "").encode())
                 yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(np.diff(off).astype(np.int64)), pa.ListArray.from_arrays(pa.array(off), pa.array(values)), pa.array(same)], names=["doc_id", "n_ids", "ids", "decodes_back"])
 
     return run
@@ -267,9 +267,14 @@ def _encoded(path: str):
 def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_ids, ids (array of int) and decodes_back for each row of ``docs``.
 
-    ``decodes_back``: the ids decode to the text itself (a model that collapses
-    white space can't always do that).  A null text is empty and has no ids.
-    Repeated rows are encoded alike.  An empty table gives an empty result.
+    ``decodes_back``: the ids decode to the text itself (they don't where the text
+    has U+2581, or the model collapses white space).  A null text is empty and has
+    no ids.  A very long text is encoded whole, part by part, and takes some 20
+    times its size.  Repeated rows are encoded alike, whatever their id.  Further
+    columns are left out.  An empty table gives an empty result.
+
+    Models with a table of character replacements or with user-defined pieces
+    raise ``ValueError``.
     """
     if path is None:
         import public_tokenizers
