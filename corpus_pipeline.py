@@ -1,4 +1,12 @@
-"""Quality rules, near-dedup, substring dedup, pseudonyms and packing, one after the other over ``documents``."""
+"""Quality rules, near-dedup, substring dedup, pseudonyms and packing, one after the other over ``documents``.
+
+In every stage but the last a row goes whole or stays with all its columns; only
+text and n_chars change.  A null or empty text has no words, so the quality rules
+reject it; stages that are given one leave it as it is.  Rows that share an id are
+one document: they stay or go together, and take no passages from each other.  A
+row with a null id is no copy of any other.  Repeated rows are treated alike.  A
+table without rows gives none at any stage.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.llm import minhash, packing, pii, quality, substring
-from tidelog.llm.common import written
+from tidelog.llm.common import drop, written
 from tidelog.llm.queries import PII_KEY
 
 
@@ -20,7 +28,7 @@ def _like(docs: DataFrame, changed: DataFrame) -> DataFrame:
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules or the cascade reject go."""
-    return quality.judge(docs).where("kept").select(*docs.columns)
+    return quality.sieve(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,5 +59,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir))
+        made = written(stage(spark, docs, sf_dir))
+        drop(docs)
+        docs = made
     return STAGES[-1][1](spark, docs, sf_dir)
