@@ -2,21 +2,23 @@
 
 Many queries share one scan: every note carries the list of the (query, filter)
 pairs that it matches, visibility is joined once, and ids are made distinct
-before the pairs are told apart.  Limits are taken in two steps, over ``SALTS``
-parts of each pair and then over what these leave, so that no task sorts all
-matches of a filter.
+before the pairs are told apart.  Limits are taken in three steps: in each input
+partition before anything is sent, over ``SALTS`` groups of partitions, and over
+what these leave, so no more than a limit's worth of a partition is ever sent and
+no task sorts all matches of a filter.  Ranks are dense, so copies of a note take
+one place.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidelog.functions import text
 from tidelog.operators.visibility import ALWAYS, MODES, SEARCH_ONLY, Visibility
-from tidelog.plans.filters import Filter, any_of
+from tidelog.plans.filters import Filter, all_of, any_of
 from tidelog.schema import COLUMNS, newest_first
 
 SALTS = 64
@@ -33,12 +35,18 @@ def matching(notes: DataFrame, filters: Sequence[Filter], searchable_kinds: list
     found = notes.where(any_of(fields))
     if not any(f.terms for f in filters):
         searched = fields
-    elif "search_text" in notes.columns:
-        searched = [c & f.text_has_terms(F.col("search_text")) for c, f in zip(fields, filters, strict=True)]
-        found = notes.where(any_of(searched))
     else:
-        found = found.withColumn("__text", text.matchable_text())
-        searched = [c & f.text_has_terms(F.col("__text")) for c, f in zip(fields, filters, strict=True)]
+        name = "search_text"
+        if name not in notes.columns:
+            name = "__text"
+            found = found.withColumn(name, text.matchable_text())
+        if len(filters) == 1:
+            searched = [fields[0] & filters[0].text_has_terms(F.col(name))]
+        else:  # each term is looked for once, however many filters have it
+            terms = list(dict.fromkeys(t for f in filters for t in f.terms))
+            has = F.array(*[F.contains(F.col(name), F.lit(t)) for t in terms])
+            found = found.withColumn("__has", F.when(F.monotonically_increasing_id() >= 0, has))  # so that it isn't copied
+            searched = [c & all_of([F.get("__has", F.lit(terms.index(t))) for t in dict.fromkeys(f.terms)]) for c, f in zip(fields, filters, strict=True)]
         found = found.where(any_of(searched))
     if len(filters) == 1:
         return found.withColumn(to, F.array(F.lit(0))).select(*notes.columns, to)
@@ -67,10 +75,21 @@ def run(notes: DataFrame, filters: Sequence[Filter], visibility: str = SEARCH_ON
     found = matching(notes, filters, searchable_kinds).select(*COLUMNS)
     if _checks(f, visibility):
         found = (rules or Visibility.of(notes)).visible(found)
+    if f.limit is not None:
+        found = ranked(found, [], F.lit(_int(f.limit)), _int(f.limit))
     found = found.dropDuplicates(["id"]).orderBy(*newest_first())
     return found if f.limit is None else found.limit(_int(f.limit))
 
 
+def ranked(found: DataFrame, group: list[str], limit: Column, most: int) -> DataFrame:
+    """What can be among the ``limit`` newest notes of each group, ``most`` at most, copies included."""
+    part, place = "__part", "__place"
+    found = found.withColumn(part, F.pmod(F.spark_partition_id(), F.lit(SALTS)))
+    for keys in ([*group, part], group):
+        found = found.withColumn(place, F.dense_rank().over(Window.partitionBy(*keys).orderBy(*newest_first()))).where((F.col(place) <= most) & (F.col(place) <= limit))
+    return found.drop(part, place)
+
+
 def _int(limit: int) -> int:
     return min(limit, 2**31 - 1)
 
@@ -92,17 +111,14 @@ def batch(notes: DataFrame, queries: Sequence[Sequence[Filter]], visibility: str
         found = (rules or Visibility.of(notes)).flagged(found, "__visible")
         left = F.filter("__hits", lambda i: F.col("__visible") | ~i.isin(*checked))
         found = found.withColumn("__hits", left).where(F.size("__hits") > 0).drop("__visible")
-    found = found.dropDuplicates(["id"]).withColumn("__pair", F.explode("__hits")).drop("__hits")
+    found = found.withColumn("__pair", F.explode("__hits")).drop("__hits")
     limits = {i: _int(f.limit) for i, f in enumerate(filters) if f.limit is not None}
     parts = []
     if len(limits) < len(filters):
         parts.append(found.where(~F.col("__pair").isin(*limits)) if limits else found)
     if limits:
         most = F.element_at(F.create_map(*[F.lit(x) for pair in limits.items() for x in pair]), F.col("__pair"))
-        ranked = found.where(F.col("__pair").isin(*limits)).withColumn("__salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)))
-        for keys in (["__pair", "__salt"], ["__pair"]):
-            ranked = ranked.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(*newest_first()))).where((F.col("__n") <= max(limits.values())) & (F.col("__n") <= most))
-        parts.append(ranked.drop("__n", "__salt"))
+        parts.append(ranked(found.where(F.col("__pair").isin(*limits)), ["__pair"], most, max(limits.values())))
     found = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     number = F.element_at(F.array(*[F.lit(q) for q, _ in pairs]), F.col("__pair") + 1)
     return found.withColumn("query", number).dropDuplicates(["query", "id"]).select(*COLUMNS, "query")
@@ -119,9 +135,10 @@ def newest_days(notes: DataFrame, f: Filter, days: Sequence[int], **options) ->
     options.setdefault("rules", Visibility.of(notes) if _checks(f, options.get("visibility", SEARCH_ONLY)) else None)
     step = 1
     while step < len(left):
-        found = run(notes.where(F.col("unix_day") >= left[step - 1]), [f], **options)
+        found = run(notes.where(F.col("unix_day") >= left[step - 1]), [f], **options).persist()  # ``limit`` rows at most
         if found.count() >= f.limit:
             return found
+        found.unpersist()
         step *= 4
     return run(notes, [f], **options)
 
