@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import sys
+import time
 
 from pyspark.sql import SparkSession
 
@@ -40,9 +41,9 @@ def main(args: list[str] | None = None) -> int:
     elif given.command == "import":
         print(store.import_jsonl(given.files))
     else:
-        found, said = store.query_with_stats(given.filters)
-        print("\n".join(found))
-        print(f"{said['events']} in {said['elapsed_ms']:.0f} ms", file=sys.stderr)
+        began = time.perf_counter()
+        count = store.stream_query(given.filters, lambda note: print(note))
+        print(f"{count} in {(time.perf_counter() - began) * 1000:.0f} ms", file=sys.stderr)
     return 0
 
 

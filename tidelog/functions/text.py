@@ -18,8 +18,10 @@ from pyspark.sql import types as T
 from tidelog.functions import tags as tag
 from tidelog.schema import LONG_FORM, PROFILE
 
-#: Stands between the fields of a text, so that no term matches over two of them.
+# fixed value: stands between the fields of a text, so that no term matches over two of them
 FIELD_END = "\x1f"
+#: Goes up whenever the normal form or the choice of texts changes, so that stores know which texts are of which form.
+VERSION = 1
 # fixed values
 WHITE_SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 TITLE_TAGS = ("title", "Title", "summary", "Summary")

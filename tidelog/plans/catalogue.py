@@ -15,7 +15,8 @@ from tidelog.operators import purge, query, stats
 from tidelog.operators.visibility import ALWAYS, NONE, SEARCH_ONLY, Visibility, own_address, replace_winners
 from tidelog.plans import adapter
 from tidelog.plans.filters import parse_filters
-from tidelog.schema import payload
+from tidelog.schema import COLUMNS, payload
+from tidelog.sources import files, notes
 
 Query = Callable[[SparkSession, str], DataFrame]
 FOUND = ("id", "pubkey", "created_at", "kind")
@@ -166,11 +167,26 @@ def stats_visible(spark, sf_dir):
     return seen.agg(F.count("*").alias("count"), F.sum(F.octet_length("content")).cast("long").alias("content_bytes"))
 
 
-@registered()
+#: A note as JSON; DuckDB writes a JSON column into it as it is.
+_PAYLOAD = "to_json({'id': id, 'pubkey': pubkey, 'created_at': created_at, 'kind': kind, 'tags': tags, 'content': content, 'sig': sig})"
+
+
+@registered(f"SELECT count(*) AS count, CAST(coalesce(sum(strlen(CAST({_PAYLOAD} AS VARCHAR))), 0) AS BIGINT) AS bytes FROM visible")
 def stats_payload(spark, sf_dir):
     return stats.database_stats(adapter.notes(spark, sf_dir))
 
 
+@registered(f"SELECT count(*) AS count, CAST(sum(strlen(p)) AS BIGINT) AS bytes, bit_xor(CAST('0x' || substr(md5(p), 1, 15) AS BIGINT)) AS hash FROM (SELECT CAST({_PAYLOAD} AS VARCHAR) AS p FROM notes)")
+def fingerprint(spark, sf_dir):
+    all_notes = adapter.notes(spark, sf_dir)
+    return stats.fingerprint(all_notes.unionByName(all_notes.where("kind = 5")))
+
+
+@registered(f"SELECT id, {_PAYLOAD} AS json FROM notes WHERE kind IN (0, 5)".replace("to_json", "CAST(to_json").replace(" AS json", " AS VARCHAR) AS json"))
+def payload_json(spark, sf_dir):
+    return adapter.notes(spark, sf_dir).where("kind in (0, 5)").select("id", payload().alias("json"))
+
+
 @registered("SELECT format('{:,}', count(*)) AS count FROM visible")
 def stats_formatted(spark, sf_dir):
     return stats.database_stats(adapter.notes(spark, sf_dir)).select(F.format_number("count", 0).alias("count"))
@@ -234,12 +250,16 @@ def expiration(spark, sf_dir):
     return purge.unexpired(timed, _NOW).select(*FOUND)
 
 
-def _stored(spark: SparkSession, sf_dir: str):
-    """A new store with all notes: most compacted, the last day only landed."""
+def _new_store(spark: SparkSession, **options):
     from tidelog.sources.store import Store, StoreOptions
 
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    store = Store(spark, f"{base}/notes-{uuid.uuid4().hex}", StoreOptions(verify=False, hot_max_bytes=1 << 60))
+    return Store(spark, f"{base}/notes-{uuid.uuid4().hex}", StoreOptions(verify=False, hot_max_bytes=1 << 60, **options))
+
+
+def _stored(spark: SparkSession, sf_dir: str, **options):
+    """A new store with all notes: most compacted, the last day only landed."""
+    store = _new_store(spark, **options)
     all_notes = adapter.notes(spark, sf_dir)
     store.append(all_notes.where(F.col("unix_day") < DAY0 + 29))
     store.compact()
@@ -252,6 +272,72 @@ def store_query(spark, sf_dir):
     return _stored(spark, sf_dir).query({"kinds": [1, 30023], "search": "ther tion"}).select(*FOUND)
 
 
+@registered(_where(f"kind = 1 AND {_in('ther')}", "visible", f"{_TOP} 70"))
+def store_newest_days(spark, sf_dir):
+    return _stored(spark, sf_dir).query({"kinds": [1], "search": "ther", "limit": 70}).select(*FOUND)
+
+
+_DAY_WORD = DAY0 + 11
+
+
+@registered(_where(f"kind = 1 AND unix_day = {_DAY_WORD}", "visible"))
+def store_skipping(spark, sf_dir):
+    """One day's notes have a word that no other day has; the search reads that day alone."""
+    store = _new_store(spark)
+    marked = F.when((F.col("kind") == 1) & (F.col("unix_day") == _DAY_WORD), F.concat(F.coalesce("content", F.lit("")), F.lit(" Zyxwvut"))).otherwise(F.col("content"))
+    store.append(adapter.notes(spark, sf_dir).withColumn("content", marked))
+    store.compact()
+    found = store.query({"search": "ZYXWVUT"})
+    assert store._days_for(parse_filters({"search": "ZYXWVUT"})) == [_DAY_WORD]
+    return found.select(*FOUND)
+
+
+def _with_stale_texts(spark, sf_dir):
+    """A store some of whose days have no texts, or texts of another version."""
+    store = _stored(spark, sf_dir)
+    place = store._generations()[-1][1]
+    rows = store.compacted().select(*COLUMNS, "unix_day", "search_text")
+    for day, version, kept in ((DAY0 + 3, text.VERSION, None), (DAY0 + 4, text.VERSION - 1, "of another form")):
+        changed = rows.where(F.col("unix_day") == day).withColumns({"search_text": F.lit(kept).cast("string"), "text_version": F.lit(version)}).persist()
+        changed.count()
+        files.delete(spark, f"{place}/unix_day={day}")
+        changed.write.mode("append").partitionBy("unix_day", "text_version").parquet(place)
+        changed.unpersist()
+    store._distrust()
+    return store
+
+
+@registered(_where(f"kind IN (1, 30023) AND {_in('ther', 'tion')}", "visible"))
+def store_repair(spark, sf_dir):
+    return _with_stale_texts(spark, sf_dir).query({"kinds": [1, 30023], "search": "ther tion"}).select(*FOUND)
+
+
+@registered(f"SELECT 2 AS rebuilt, (SELECT count(DISTINCT unix_day) FROM notes WHERE unix_day < {DAY0 + 29}) - 2 AS skipped, (SELECT count(*) FROM visible WHERE {_in('ther')}) AS found")
+def store_reindex(spark, sf_dir):
+    store = _with_stale_texts(spark, sf_dir)
+    said = store.reindex()
+    return store.query({"search": "ther"}).agg(F.lit(said["rebuilt"]).alias("rebuilt"), F.lit(said["skipped"]).cast("long").alias("skipped"), F.count("*").alias("found"))
+
+
+@registered(_where("true"))
+def store_recovery(spark, sf_dir):
+    """A file in the landing folder that isn't whole is put aside."""
+    from tidelog.sources.store import Store
+
+    store = _stored(spark, sf_dir)
+    files.write(spark, f"{store.landing}/part-torn.parquet", b"PAR1 cut off")
+    return Store(spark, store.path, store.options).query("{}", NONE).select(*FOUND)
+
+
+@registered(_where(f"id IN ({_listed(_IDS)})"))
+def store_insert(spark, sf_dir):
+    """Notes inserted one by one."""
+    store = _new_store(spark)
+    for row in adapter.notes(spark, sf_dir).where(F.col("id").isin(*_IDS)).select(payload().alias("json")).collect():
+        store.insert_event_json(row["json"])
+    return store.query("{}", NONE).select(*FOUND)
+
+
 @registered(_where("true", "visible"))
 def dump_load(spark, sf_dir):
     from tidelog.sources.store import Store, StoreOptions
@@ -263,6 +349,73 @@ def dump_load(spark, sf_dir):
     return again.query("{}", NONE).select(*FOUND)
 
 
+@registered(_where("kind IN (0, 5)", "visible"))
+def dump_load_framed(spark, sf_dir):
+    """A framed dump, written as one stream and loaded in parts."""
+    import io
+
+    store = _new_store(spark)
+    store.append(Visibility.of(all_notes := adapter.notes(spark, sf_dir)).visible(all_notes).where("kind in (0, 5)"))
+    out = io.BytesIO()
+    notes.write_dump(store.notes(), out)
+    files.write(spark, f"{store.path}/framed", out.getvalue())
+    again = _new_store(spark)
+    again.load(f"{store.path}/framed", part_bytes=1 << 18)
+    return again.query("{}", NONE).select(*FOUND)
+
+
+@registered(f"SELECT id, octet_length(CAST({_PAYLOAD} AS BLOB)) AS bytes FROM notes WHERE kind = 0".replace("octet_length(CAST(", "strlen(CAST(").replace("AS BLOB", "AS VARCHAR"))
+def packet_log(spark, sf_dir):
+    """Records with little-endian lengths."""
+    store = _new_store(spark)
+    rows = adapter.notes(spark, sf_dir).where("kind = 0").select(payload().alias("p")).toLocalIterator()
+    files.write(spark, f"{store.path}/log", b"".join(len(r["p"].encode()).to_bytes(4, "little") + r["p"].encode() for r in rows))
+    store.load(f"{store.path}/log", order="<")
+    return store.notes().select("id", F.octet_length(payload()).cast("long").alias("bytes"))
+
+
+def _read(subscription) -> tuple[list[str], list[str]]:
+    """Ids before and after the end of the stored notes."""
+    import json
+
+    from tidelog.streaming.subscription import EOSE
+
+    stored, live = [], []
+    while (one := subscription.next(60)) is not EOSE:
+        stored.append(json.loads(one)["id"])
+    subscription.catch_up()
+    while (one := subscription.try_next()) is not None:
+        live.append(json.loads(one)["id"])
+    return stored, live
+
+
+@registered(f"SELECT 0 AS query, id, 'stored' AS how FROM notes WHERE kind = 0 AND id NOT IN ({_listed(_IDS)}) UNION ALL SELECT 1, id, 'stored' FROM (SELECT * FROM visible WHERE {_in('headline1')} AND id NOT IN ({_listed(_IDS)}) {_TOP} 20) UNION ALL SELECT 0, id, 'live' FROM notes WHERE kind = 0 AND id IN ({_listed(_IDS)})")
+def subscriptions(spark, sf_dir):
+    """Two subscriptions whose stored notes come from one scan, then notes that land."""
+    store, all_notes = _new_store(spark), adapter.notes(spark, sf_dir)
+    late = F.col("id").isin(*_IDS)
+    store.append(all_notes.where(~late))
+    store.compact()
+    made = store.subscribe_all([{"kinds": [0]}, {"search": "headline1", "limit": 20}])
+    store.append(all_notes.where(late & (F.col("kind") == 0)))
+    rows = [(q, number, how) for q, one in enumerate(made) for how, got in zip(("stored", "live"), _read(one), strict=True) for number in got]
+    for one in made:
+        one.close()
+    return spark.createDataFrame(rows, "query int, id string, how string")
+
+
+@registered("SELECT i AS number, i % 3 <> 1 AS holds FROM range(12) AS r(i)")
+def signatures(spark, sf_dir):
+    """Signed notes, every third with a signature of another."""
+    rows = []
+    for i in range(12):
+        key, _ = crypto.sign(bytes(32), (i + 1).to_bytes(32, "big"))
+        one = crypto.note_id(key.hex(), i, 1, [["n", str(i)]], f"note {i}")
+        _, sig = crypto.sign(bytes.fromhex(one) if i % 3 != 1 else bytes(32), (i + 1).to_bytes(32, "big"))
+        rows.append((one, key.hex(), sig.hex(), i))
+    return spark.createDataFrame(rows, "id string, pubkey string, sig string, number long").select("number", crypto.signature_holds().alias("holds"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return query.run(adapter.notes(spark, sf_dir), parse_filters({"kinds": [1, 30023], "search": "ther tion", "limit": 50})).select(*FOUND, payload().alias("json"))
 
