@@ -1,0 +1,262 @@
+"""Plans and rare events: what crosses an exchange, stale texts, days left out, locks, torn files, subscribers that miss nothing."""
+
+import json
+import struct
+import threading
+
+import pytest
+from pyspark.sql import functions as F
+
+from tests.test_store import DAY, got, signed
+from tidelog import Store, StoreOptions
+from tidelog.functions import text
+from tidelog.operators import query, skipping, stats
+from tidelog.plans.filters import parse_filters
+from tidelog.schema import COLUMNS, NOTE
+from tidelog.sources import files, notes
+from tidelog.sources.store import StoreLocked, kinds_stamp
+from tidelog.streaming.subscription import EOSE, Subscription
+
+
+def rows_of(spark, many):
+    return spark.createDataFrame([tuple(n[c] for c in COLUMNS) for n in many], NOTE)
+
+
+def plain(at, content="hello", kind=1, tags=()):
+    """A note whose signature nobody looks at."""
+    number = f"{at:08x}{abs(hash(content)) % 16**8:08x}"
+    return {"id": number.ljust(64, "0"), "pubkey": "ab" * 32, "created_at": at, "kind": kind, "tags": [list(t) for t in tags], "content": content, "sig": "cd" * 64}
+
+
+@pytest.fixture
+def store(spark, tmp_path):
+    return Store(spark, str(tmp_path / "store"), StoreOptions(hot_max_bytes=1 << 40, verify=False))
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_limits_are_taken_before_the_exchange(spark, tmp_path):
+    rows_of(spark, [plain(i, f"text {i}") for i in range(3000)]).repartition(12).write.parquet(str(tmp_path / "n"))
+    df = spark.read.parquet(str(tmp_path / "n"))
+    found = query.run(df.unionByName(df), parse_filters({"kinds": [1], "limit": 7}))
+    said = plan(found)
+    assert said.count(", Partial") == 2 and said.rindex("Exchange") < said.rindex(", Partial")  # the lowest exchange gets ranked rows only
+    assert [r["created_at"] for r in found.collect()] == list(range(2999, 2992, -1))
+    many = query.batch(df.unionByName(df), [parse_filters([{"kinds": [1], "limit": 5}, {"kinds": [2]}]), parse_filters({"since": 10, "limit": 3})])
+    assert sorted((r["query"], r["created_at"]) for r in many.collect()) == [(0, i) for i in range(2995, 3000)] + [(1, i) for i in range(2997, 3000)]
+    assert ", Partial" in plan(many)
+
+
+def test_a_store_reads_the_newest_days_first(spark, store, monkeypatch):
+    store.append(rows_of(spark, [plain(d * DAY + i, f"day {d} {i}") for d in range(12) for i in range(4)]))
+    store.compact()
+    store.append(rows_of(spark, [plain(12 * DAY, "fresh")]))
+    asked = []
+    run = query.run
+    monkeypatch.setattr(query, "run", lambda n, *a, **k: asked.append(n) or run(n, *a, **k))
+    assert got(store.query({"limit": 3})) == ["fresh", "day 11 3", "day 11 2"]
+    read = {f.split("unix_day=")[1].split("/")[0] for n in asked for f in n.inputFiles() if "unix_day=" in f}
+    assert len(asked) == 2  # the newest day alone, then the newest four
+    assert "unix_day" in plan(asked[-1]) and read
+    seen = []
+    assert store.stream_query("{}", lambda j: seen.append(j) or len(seen) < 3) == 3 and json.loads(seen[0])["content"] == "fresh"
+    assert len(seen) == 3 and store.stream_query("{}", lambda j: None) == 49
+
+
+def test_days_without_the_terms_are_left_out(spark, store):
+    store.append(rows_of(spark, [plain(d * DAY + 5, f"common words and nummer{d} Größe{d}") for d in range(9)]))
+    store.compact()
+    f = lambda s: parse_filters({"search": s})
+    assert store._days_for(f("nummer4")) == [4] and store._days_for(f("größe7 COMMON")) == [7] and store._days_for(f("absent")) == []
+    assert store._days_for(f("ab")) is None and store._days_for(parse_filters("{}")) is None
+    assert got(store.query({"search": "nummer4"})) == ["common words and nummer4 Größe4"] and got(store.query({"search": "absent"})) == []
+    scans = plan(store.notes(store._days_for(f("nummer4"))))
+    assert "unix_day#" in scans and "= 4" in scans.replace("IN (4)", "= 4")
+    assert store.notes([4]).count() == 1
+    both = store.query([{"search": "nummer2"}, {"search": "nummer6"}])
+    assert sorted(got(both)) == ["common words and nummer2 Größe2", "common words and nummer6 Größe6"]
+    store.append(rows_of(spark, [plain(2 * DAY + 9, "nummer4 again, on another day")]))
+    assert store.query({"search": "nummer4"}).count() == 2
+    store.compact()
+    assert store._days_for(f("nummer4")) == [2, 4] and store.query({"search": "nummer4"}).count() == 2
+    store._distrust()  # as after a crash
+    assert store._days_for(f("nummer4")) is None and store.query({"search": "nummer4"}).count() == 2
+    assert store.reindex() == {"rebuilt": 0, "skipped": 9} and store._days_for(f("nummer4")) == [2, 4]
+
+
+def test_sets_of_runs_by_hand(spark):
+    texts = ["abcd", "xyz and é", None, "", "ab", "a longer text of several words"]
+    df = spark.createDataFrame([(i % 2, t) for i, t in enumerate(texts)], "unix_day long, search_text string")
+    kept = skipping.sets(df)
+    for term in ("abc", "bcd", "z an", "é", "several words", "abd", "longest"):
+        found = skipping.days_with(kept, [term])
+        if len(term.encode()) < 3:
+            assert found is None
+        else:
+            assert {i % 2 for i, t in enumerate(texts) if t and term in t} <= set(found)
+    assert skipping.days_with(kept, ["abd"]) == [] and skipping.days_with(kept, ["abcd", "xyz"]) == []
+
+
+def test_kinds_that_are_searched_have_sets_of_their_own(spark, tmp_path):
+    place = str(tmp_path / "s")
+    options = lambda kinds: StoreOptions(hot_max_bytes=1 << 40, verify=False, searchable_kinds=kinds)
+    store = Store(spark, place, options([2, 1, 1]))
+    store.append(rows_of(spark, [plain(5, "needle", 1), plain(DAY, "needle", 7)]))
+    store.compact()
+    assert store._days_for(parse_filters({"search": "needle"})) == [0] and kinds_stamp([1, 2]) == kinds_stamp([2, 1, 1]) != kinds_stamp([1])
+    other = Store(spark, place, options([7]))
+    assert other._days_for(parse_filters({"search": "needle"})) is None and got(other.query({"search": "needle"})) == ["needle"]
+    other.reindex()
+    assert other._days_for(parse_filters({"search": "needle"})) == [1]
+
+
+def test_stale_texts_are_made_while_reading_and_rewritten_alone(spark, store, monkeypatch):
+    store.append(rows_of(spark, [plain(d * DAY, f"Word{d} ALPHA") for d in range(3)]))
+    store.compact()
+    monkeypatch.setattr(text, "VERSION", text.VERSION + 1)
+    store.append(rows_of(spark, [plain(3 * DAY, "Word3 ALPHA"), plain(DAY + 1, "later ALPHA")]))
+    store.compact()
+    assert store._days_for(parse_filters({"search": "alpha"})) is None  # the sets don't cover the older days
+    assert store.query({"search": "alpha"}).count() == 5
+    kept = {f for f in store.compacted().inputFiles() if "unix_day=3" in f}
+    said = []
+    assert store.reindex(on_progress=said.append) == {"rebuilt": 3, "skipped": 1}
+    assert [s["state"] for s in said] == ["started", "running", "finished"] and said[-1]["done"] == 3
+    assert {f for f in store.compacted().inputFiles() if "unix_day=3" in f} == kept  # what is fresh isn't touched
+    assert store.query({"search": "alpha"}).count() == 5 and store.compacted().where("text_version < 2").count() == 0 and store.days() == [0, 1, 2, 3]
+    assert store._days_for(parse_filters({"search": "word2"})) == [2]
+
+
+def test_one_writer_at_a_time(spark, store):
+    other = Store(spark, store.path, store.options)
+    with store.locked():
+        store.append(rows_of(spark, [plain(1)]))
+        with pytest.raises(StoreLocked):
+            other.append(rows_of(spark, [plain(2)]))
+    other.append(rows_of(spark, [plain(2)]))
+    files.create(spark, f"{store.path}/lock")
+    with pytest.raises(StoreLocked):
+        store.compact()
+    store.break_lock()
+    assert store.compact().events == 2
+
+
+def test_torn_files_are_put_aside(spark, store):
+    store.append(rows_of(spark, [plain(1, "kept")]))
+    files.write(spark, f"{store.landing}/part-a.parquet", b"PAR1 and no end")
+    files.write(spark, f"{store.landing}/note.txt", b"")
+    again = Store(spark, store.path, store.options)
+    assert got(again.query("{}")) == ["kept"] and again.compact().events == 1 and len(files.listed(spark, f"{store.path}/damaged")) == 2
+
+
+def test_rules_are_merged(spark, store, monkeypatch):
+    from tidelog.sources import store as module
+
+    monkeypatch.setattr(module, "MOST_RULES", 2)
+    for i in range(5):
+        store.append(rows_of(spark, [plain(i, f"version {i}", 0), plain(100 + i, "", 5, [["e", plain(i + 1, f"version {i + 1}", 0)["id"]]])]))
+        store.compact()
+    assert len(files.listed(spark, f"{store.path}/rules")) <= 3 and sorted(got(store.query("{}", "always"))) == [""] * 5
+
+
+def test_dumps_of_any_size_and_packet_logs(spark, store, tmp_path):
+    many = [plain(i, f"note {i} " + "x" * (i % 50)) for i in range(200)]
+    for order, name in ((">", "dump"), ("<", "log")):
+        data = [json.dumps(n).encode() for n in many]
+        (tmp_path / name).write_bytes(b"".join(struct.pack(f"{order}I", len(d)) + d for d in data))
+        to = Store(spark, str(tmp_path / f"to_{name}"), store.options)
+        assert to.load(str(tmp_path / name), order=order, part_bytes=5000) == 200 and to.query("{}").count() == 200
+        assert [n for n, _, _ in files.listed(spark, to.path) if n.startswith("loading")] == []
+    assert stats.fingerprint(to.notes()).first() == stats.fingerprint(rows_of(spark, many + many[:5])).first()
+    (tmp_path / "cut").write_bytes((tmp_path / "dump").read_bytes()[:-3])
+    with pytest.raises(notes.TruncatedDump):
+        store.load(str(tmp_path / "cut"), part_bytes=5000)
+
+
+def test_the_first_of_many_bad_lines_is_named(spark, store, tmp_path):
+    path = tmp_path / "many.jsonl"
+    good = json.dumps(signed(5, "good"))
+    path.write_text("\n".join(["", good, "", good, "bad first"] + [f"bad {i}" for i in range(3000)] + [""]))
+    with pytest.raises(notes.ImportFailed, match=r"many\.jsonl:5: .*bad first"):
+        store.import_jsonl(str(path))
+
+
+def test_each_filter_is_timed(spark, store):
+    store.append(rows_of(spark, [plain(i, f"n{i}", i % 2) for i in range(6)]))
+    out, said = store.query_with_stats([{"kinds": [0]}, {"kinds": [1], "limit": 2}])
+    assert len(out) == said["events"] == 5 and [f["events"] for f in said["filters"]] == [3, 2] and all(f["elapsed_ms"] > 0 for f in said["filters"])
+
+
+def test_a_query_of_a_batch_can_end_while_it_runs(spark, store):
+    store.append(rows_of(spark, [plain(i, f"n{i}", i % 3) for i in range(90)]))
+    counts, over = {0: 0, 1: 0, 2: 0}, set()
+
+    def take(q, _):
+        counts[q] += 1
+        if q == 1 and counts[1] == 4:
+            over.add(1)
+        return not (q == 0 and counts[0] == 2)
+
+    assert store.stream_batch([{"kinds": [0]}, {"kinds": [1]}, {"kinds": [2]}], take, lambda q: q not in over) == [2, 4, 30]
+    assert store.stream_batch([{"kinds": [0]}], lambda q, _: False) == [1] and store.query("{}").count() == 90
+
+
+def test_a_note_that_lands_while_a_subscription_starts_is_not_missed(spark, store, monkeypatch):
+    """The writer stamps its rows, then the subscription lists and starts, then the writer commits."""
+    store.append(rows_of(spark, [plain(1, "before")]))
+    stamped = rows_of(spark, [plain(2, "meanwhile")]).select(*COLUMNS, F.lit(1).cast("long").alias("landed_at"), F.lit(True).alias("notify"))
+    start = Subscription.__init__
+
+    def late(self, *args):
+        start(self, *args)
+        stamped.write.mode("append").parquet(store.landing)
+
+    monkeypatch.setattr(Subscription, "__init__", late)
+    with store.subscribe("{}") as one:
+        found = []
+        while (n := one.next(30)) is not EOSE:
+            found.append(json.loads(n)["content"])
+        one.catch_up()
+        while (n := one.try_next()) is not None:
+            found.append(json.loads(n)["content"])
+    assert sorted(set(found)) == ["before", "meanwhile"]
+
+
+def test_a_full_subscriber_gets_nothing_more(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "s"), StoreOptions(subscription_capacity=2, verify=False))
+    one = store.subscribe("{}")
+    assert one.next(30) is EOSE
+    store.append(rows_of(spark, [plain(i, f"first {i}") for i in range(5)]))
+    one.catch_up()
+    assert one.closed and store.subscriptions == []
+    drained = []
+    while (n := one.try_next()) is not None:
+        drained.append(n)
+    assert len(drained) == 2
+    for t in threading.enumerate():
+        if t.daemon and t.name.endswith("(_stop)"):
+            t.join(30)
+    store.append(rows_of(spark, [plain(9, "second")]))
+    assert one.next(3) is None and not one._query.isActive
+
+
+def test_subscriptions_share_one_scan(spark, store):
+    store.append(rows_of(spark, [plain(i, f"n{i}", i % 3) for i in range(9)]))
+    store.compact()
+    made = store.subscribe_all([{"kinds": [0], "limit": 2}, {"search": "n4"}, {"kinds": [8]}])
+    try:
+        found = []
+        for one in made:
+            own = []
+            while (n := one.next(30)) is not EOSE:
+                own.append(json.loads(n)["content"])
+            found.append(own)
+        assert found == [["n6", "n3"], ["n4"], []]
+        store.append(rows_of(spark, [plain(50, "new", 8)]))
+        made[2].catch_up()
+        assert json.loads(made[2].next(30))["content"] == "new"
+    finally:
+        for one in made:
+            one.close()
