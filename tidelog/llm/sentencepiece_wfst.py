@@ -2,21 +2,24 @@
 
 Three machines are compiled from a model file and composed with each input:
 
-* the normaliser N rewrites the text (dummy prefix, white space as U+2581,
-  runs of it collapsed where the model asks for that);
-* the piece acceptor P has an arc for every piece over its characters and, for
-  a character that no piece has, one arc that writes the bytes of it;
+* the normaliser N is a transducer over runs of white space and of other signs,
+  with a table of arcs (state, kind of run) -> (state, what is written): a dummy
+  prefix, U+2581 for white space, one for a run where the model collapses them;
+* the piece acceptor P is a trie of all pieces, whose final states name a piece,
+  and one arc for every character that no piece has, which writes its bytes;
 * the merge machine M reads pieces and has the last piece as its state.  For a
   unigram model an arc costs minus the score of its piece.  For a BPE model an
   arc from piece a to piece b costs 0 if merging the characters of a + b by the
   model's scores gives back exactly a, b, and infinity if not: a sequence of
-  pieces is the model's encoding just if all its neighbours are such pairs.
+  pieces is the model's encoding just if all its neighbours are such pairs.  Its
+  arcs are made when they are first met and kept.
 
 The encoding is the shortest path of the input composed with N, P and M in the
-tropical semiring (costs add along a path, the least path counts).  Where two
-neighbouring characters stand side by side in no piece, as before any run of
-U+2581, every path splits; the parts between such places are solved once and
-remembered.
+tropical semiring (costs add along a path, the least path counts).  Places of the
+input are left in order; from each, the trie is walked along the input, and every
+final state met relaxes the cost of the place behind it.  Where two neighbouring
+characters stand side by side in no piece, as before any run of U+2581, every
+path splits; the parts between such places are solved once and remembered.
 """
 
 from __future__ import annotations
@@ -34,10 +37,11 @@ from tidelog.llm.common import keyed_texts
 from tidelog.llm.kernels import raw, slices
 
 SPACE = "▁"
+BLANK = f" {SPACE}"
+RUNS = re.compile(f"[{BLANK}]+|[^{BLANK}]+")
 NORMAL, UNKNOWN, BYTE, DEFINED = 1, 2, 6, 4
 #: Distinct chunks whose ids a worker remembers at a time.
 REMEMBERED = 600_000
-SHORT = (2, 1)
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, object]]:
@@ -70,6 +74,37 @@ def _fields(data: bytes) -> Iterator[tuple[int, object]]:
             at += size
 
 
+class Normaliser:
+    """N: a table of arcs over runs of white space (U+2581 counts as such) and of other signs."""
+
+    def __init__(self, prefix: bool, collapse: bool):
+        lead = SPACE if prefix else ""
+        #: (state, run is white space) -> (state, what is written first, what of the run: all, one mark, a mark each, nothing)
+        self.arcs = {("start", False): ("word", lead, "all"), ("word", False): ("word", "", "all"), ("gap", False): ("word", SPACE, "all")}
+        if collapse:  # white space at the ends goes, a run between words is one mark, written with the word behind it
+            self.arcs |= {("start", True): ("start", "", ""), ("word", True): ("gap", "", "")}
+        else:
+            self.arcs |= {("start", True): ("word", lead, "each"), ("word", True): ("word", "", "each")}
+
+    def __call__(self, text: str) -> str:
+        state, out = "start", []
+        for run in RUNS.findall(text):
+            state, first, rest = self.arcs[state, run[0] in BLANK]
+            out += [first, run if rest == "all" else SPACE * len(run) if rest == "each" else ""]
+        return "".join(out)
+
+
+def trie(words: dict[str, int]) -> dict:
+    """P: nodes are dicts from a character to a node; under the empty string, the number of the word that ends there."""
+    root: dict = {}
+    for word, number in words.items():
+        node = root
+        for c in word:
+            node = node.setdefault(c, {})
+        node[""] = number
+    return root
+
+
 class Transducer:
     """The composed machines of one model."""
 
@@ -97,15 +132,14 @@ class Transducer:
         self.unknown = kinds.index(UNKNOWN)
         self.ids = {p: i for i, (p, k) in enumerate(zip(self.pieces, kinds, strict=True)) if k == NORMAL}
         self.bytes = {int(p[3:5], 16): i for i, (p, k) in enumerate(zip(self.pieces, kinds, strict=True)) if k == BYTE}
-        ends: dict[str, set[int]] = {}
-        for piece in self.ids:
-            ends.setdefault(piece[-3:], set()).add(len(piece))
-        #: Lengths of the pieces of three characters and more that end in these three, longest first, then 2 and 1.
-        self.lengths = {end: (*sorted(x, reverse=True), 2, 1) for end, x in ends.items() if len(end) == 3}
+        self.trie = trie(self.ids)
+        self.normalise = Normaliser(self.prefix, self.collapse)
         self.text = [bytes([int(p[3:5], 16)]) if k == BYTE else " ⁇ ".encode() if k == UNKNOWN else b"" if k != NORMAL else p.replace(SPACE, " ").encode() for p, k in zip(self.pieces, kinds, strict=True)]
         self._pair: dict[int, float] = {}
         #: Neighbours inside some piece.  Between two characters that never are, every path splits.
         self.inside = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
+        #: Whether every path splits before any run of U+2581, as it does unless a piece holds one behind another sign.
+        self.splits = not any(SPACE in p.lstrip(SPACE) for p in self.ids)
         self._chunks: dict[str, bytes] = {}
         self._older: dict[str, bytes] = {}
         self._parts: dict[str, bytes] = {}
@@ -141,28 +175,29 @@ class Transducer:
         """Ids on the shortest path of one normalised chunk."""
         if self.bpe and (whole := self.ids.get(chunk)) is not None and not self.arc(-1, whole):
             return [whole]
-        n, ids, lengths, pair, bpe = len(chunk), self.ids, self.lengths, self._pair, self.bpe
+        n, root, pair, least = len(chunk), self.trie, self._pair, 0.0 if self.bpe else -inf
         cost, last, back = [inf] * (n + 1), [-1] * (n + 1), [0] * (n + 1)
         cost[0] = 0.0
-        for end in range(1, n + 1):
-            for length in lengths.get(chunk[end - 3 : end], SHORT) if end > 2 else SHORT:
-                start = end - length
-                if start < 0:
+        for start in range(n):
+            so_far = cost[start]
+            if so_far == inf:
+                continue
+            before, node = last[start], root
+            for at in range(start, n):
+                node = node.get(chunk[at])
+                if node is None:
+                    break
+                piece = node.get("")
+                if piece is None or cost[at + 1] <= least:  # no path is cheaper than ``least``
                     continue
-                piece = ids.get(chunk[start:end])
-                if piece is None:
-                    continue
-                before = last[start]
                 more = pair.get((before + 1) << 32 | piece)
-                total = cost[start] + (self.arc(before, piece) if more is None else more)
-                if total < cost[end]:
-                    cost[end], last[end], back[end] = total, piece, start
-                    if bpe:  # all finite paths cost 0, and there is one only
-                        break
-            if chunk[end - 1] not in ids and cost[end - 1] < inf:
-                total = cost[end - 1] + self.arc(last[end - 1], -2)
-                if total < cost[end]:
-                    cost[end], last[end], back[end] = total, -2, end - 1
+                total = so_far + (self.arc(before, piece) if more is None else more)
+                if total < cost[at + 1]:
+                    cost[at + 1], last[at + 1], back[at + 1] = total, piece, start
+            if chunk[start] not in root or "" not in root[chunk[start]]:
+                total = so_far + self.arc(before, -2)
+                if total < cost[start + 1]:
+                    cost[start + 1], last[start + 1], back[start + 1] = total, -2, start
         path, at = [], n
         while at:
             if last[at] == -2:
@@ -197,19 +232,15 @@ class Transducer:
             found = self._parts[part] = np.array(self.shortest(part), "<i4").tobytes()
         return found
 
-    def normalise(self, text: str) -> str:
-        text = text.replace(SPACE, " ")
-        if self.collapse:
-            text = re.sub(" +", " ", text).strip(" ")
-        return (" " + text if self.prefix and text else text).replace(" ", SPACE)
-
     def packed(self, text: str) -> bytes:
         """Ids of a text, as little-endian 32-bit integers."""
         if not text:
             return b""
-        if self.prefix and "  " not in text and text[0] != " " and text[-1] != " " and SPACE not in text:
+        if self.prefix and self.splits and "  " not in text and text[0] != " " and text[-1] != " " and SPACE not in text:
             return b"".join([self._chunks.get(c) or self._solved(c) for c in map(SPACE.__add__, text.split(" "))])
         text = self.normalise(text)
+        if not self.splits:
+            return self._solved(text) if text else b""
         return b"".join(map(self._solved, re.findall(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+", text)))
 
     def encode(self, text: str) -> list[int]:
