@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 SUBGROUPS = 1024
 #: Parts that the rows of one key are dealt to where they are joined.
 SALTS = 64
+#: Bytes that a task holds before it writes them out.
+BLOCK_BYTES = 16 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -34,7 +36,7 @@ def written(df: DataFrame) -> DataFrame:
     executors cost no more than a step.  ``drop`` deletes the folder once nothing reads it any more."""
     spark = df.sparkSession
     place = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(place)
+    df.write.option("parquet.block.size", BLOCK_BYTES).parquet(place)
     found = spark.read.schema(df.schema).parquet(place)
     found.__dict__["_shared_place"] = place
     return found

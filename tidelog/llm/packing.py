@@ -40,7 +40,7 @@ GROUPS = (16, 32, 64, 96)
 #: What stands for the vocabulary's special token in a text, and its id.
 SPECIAL, SPECIAL_ID = "<|endoftext|>", 50256
 #: Distinct chunks whose ids a worker remembers at a time.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 
 _encoders: dict[str, _Chunks] = {}
 
