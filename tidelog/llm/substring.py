@@ -42,7 +42,7 @@ from tidelog.llm.kernels import PLACE, U64, Words, each_slice, mix
 
 WINDOW, RUN = 13, 5
 #: Bytes of text whose values a worker settles together before it sends them on.
-TOGETHER = 16 << 20
+TOGETHER = 8 << 20
 #: Words in one reference shard: the proven bound of what is broadcast at a time.
 SHARD_WORDS = 200_000
 
