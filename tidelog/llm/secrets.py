@@ -34,7 +34,7 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 #: A run of 32 or more is the same as a maximal run that proves to be that long.
 _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{32,}")
-#: What a text with any span has; RE2 looks for these in one pass.  The last branch holds for whatever _PAIR takes.
+#: What a text with any span has; RE2 looks for these in one pass.  The last branch holds for whatever value the lexer takes.
 HINT = r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]|AKIA[A-Z0-9]{12}|[0-9a-f]{32}|[A-Za-z0-9_$.\-\"'][\x20\t]*(?::=|=>|[:=])[\x20\t]*[^\s,;)}\]]"
 
 #: Names and literals of any length.  No repeat can give back what the next part would take, so all are possessive and a
