@@ -410,8 +410,8 @@ def test_labels_of_all_kinds(spark):
         assert not any(r["is_toxic"] for r in toxicity.score(docs, chain).collect())
 
 
-def made_model(pieces, prefix, collapse, unigram=True):
-    """A model file of one's own: (piece, score, kind) rows, and how white space is treated."""
+def made_model(pieces, prefix, collapse, unigram=True, table=b"", by_bytes=False):
+    """A model file of one's own: (piece, score, kind) rows, how white space is treated, and a table of replacements."""
 
     def number(n):
         out = b""
@@ -426,8 +426,8 @@ def made_model(pieces, prefix, collapse, unigram=True):
         return number(field << 3) + number(value)
 
     rows = [block(1, p.encode()) + number(2 << 3 | 5) + struct.pack("<f", score) + flag(3, kind) for p, score, kind in pieces]
-    trainer = flag(3, 1 if unigram else 2) + flag(4, len(pieces))
-    normalizer = block(1, b"identity") + flag(3, int(prefix)) + flag(4, int(collapse)) + flag(5, 1)
+    trainer = flag(3, 1 if unigram else 2) + flag(4, len(pieces)) + flag(35, int(by_bytes))
+    normalizer = block(1, b"identity") + (block(2, table) if table else b"") + flag(3, int(bool(prefix))) + flag(4, int(bool(collapse))) + flag(5, 1)
     return b"".join(block(1, r) for r in rows) + block(2, trainer) + block(3, normalizer)
 
 
@@ -449,3 +449,35 @@ def test_cheapest_paths_of_made_models(prefix, collapse):
         assert "".join(pieces[i][0] for i in mine) == "".join(pieces[i][0] for i in theirs) and abs(cost(mine) - cost(theirs)) < 1e-4, text
         same += mine == theirs  # of paths that cost the same, rounding picks one there
     assert same > 0.9 * len(texts)
+
+
+@pytest.mark.parametrize("rule", ["", "nmt_nfkc", "nfkc_cf"])
+@pytest.mark.parametrize("unigram", [True, False])
+@pytest.mark.parametrize("by_bytes", [True, False])
+def test_tables_defined_pieces_and_unknown_signs(rule, unigram, by_bytes):
+    """Made models with a table of replacements, user-defined and unused pieces, with and without byte pieces, against the library."""
+    import sentencepiece
+
+    fields = lambda data: dict(sentencepiece_wfst._fields(data))
+    table = fields(fields(sentencepiece.SentencePieceNormalizer(rule_name=rule).serialized_model_proto())[3])[2] if rule else b""
+    for trial in range(8):
+        rng = np.random.default_rng(trial)
+        some = lambda signs, most: "".join(rng.choice(list(signs), rng.integers(1, most)))  # noqa: B023, E731
+        words = {some("abcé▁日1f", 5) for _ in range(40)}
+        defined = {some("abc [é①", 5).strip() for _ in range(4 * (trial % 2))} - words - {""}
+        pieces = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3)]
+        pieces += [(f"<0x{b:02X}>", 0.0, 6) for b in range(256)] if by_bytes else []
+        pieces += [(w, float(-rng.uniform(1, 16)), 1) for w in sorted(words)] + [(w, 0.0, 4) for w in sorted(defined)]
+        pieces += [("bca", -1.0, 5)] if unigram and "bca" not in words | defined else []
+        data = made_model(pieces, trial & 2, trial & 4, unigram, table, by_bytes)
+        model, own = sentencepiece.SentencePieceProcessor(model_proto=data), sentencepiece_wfst.Transducer(data)
+        for text in ["", " ", "▁", "a▁▁b ▁", *(some("abcAé é ﬁ①\t\n　ＡｂÅ½​\x00\x07▁가각ｶﾞ日", 16) for _ in range(60))]:
+            assert own.normalise(text) == model.normalize(text), text
+            assert own.encode(text) == model.encode(text) and own.decode(own.encode(text)) == model.decode(model.encode(text)), text
+
+
+def test_models_of_other_kinds_are_refused():
+    pieces = [("<unk>", 0.0, 2), ("a", -1.0, 1), ("b", -1.0, 1), ("ab", -1.0, 5)]
+    sentencepiece_wfst.Transducer(made_model(pieces, True, False))
+    with pytest.raises(ValueError, match="unused pieces"):
+        sentencepiece_wfst.Transducer(made_model(pieces, True, False, unigram=False))

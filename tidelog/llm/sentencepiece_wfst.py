@@ -2,9 +2,11 @@
 
 Three machines are compiled from a model file and composed with each input:
 
-* the normaliser N is a transducer over runs of white space and of other signs,
-  with a table of arcs (state, kind of run) -> (state, what is written): a dummy
-  prefix, U+2581 for white space, one for a run where the model collapses them;
+* the normaliser N is a transducer: two tries, of the user-defined pieces (which
+  stay as they are) and of the model's table of character replacements, take the
+  longest match at each place of the input, and what they write goes through two
+  states, in a gap or not, that write a dummy prefix, U+2581 for white space, and
+  one for a run where the model collapses them;
 * the piece acceptor P is a trie of all pieces, whose final states name a piece,
   and one arc for every character that no piece has, which writes its bytes;
 * the merge machine M reads pieces and has the last piece as its state.  For a
@@ -12,7 +14,9 @@ Three machines are compiled from a model file and composed with each input:
   arc from piece a to piece b costs 0 if merging the characters of a + b by the
   model's scores gives back exactly a, b, and infinity if not: a sequence of
   pieces is the model's encoding just if all its neighbours are such pairs.  Its
-  arcs are made when they are first met and kept.
+  arcs are made when they are first met and kept.  User-defined pieces of a BPE
+  model are never merged: the longest at a place, from the left, stand for
+  themselves, and what lies between them is read on its own.
 
 The encoding is the shortest path of the input composed with N, P and M in the
 tropical semiring (costs add along a path, the least path counts).  Places of the
@@ -37,9 +41,10 @@ from tidelog.llm.common import keyed_texts
 from tidelog.llm.kernels import raw, slices
 
 SPACE = "▁"
-BLANK = f" {SPACE}"
-RUNS = re.compile(f"[{BLANK}]+|[^{BLANK}]+")
-NORMAL, UNKNOWN, BYTE, DEFINED = 1, 2, 6, 4
+RUNS = re.compile(" |[^ ]+")
+NORMAL, UNKNOWN, CONTROL, DEFINED, UNUSED, BYTE = range(1, 7)
+#: What an unknown character costs a unigram model beyond its worst piece, and what a user-defined piece costs.
+UNKNOWN_COST, DEFINED_COST = 10.0, 0.1
 #: Distinct chunks whose ids a worker remembers at a time.
 REMEMBERED = 600_000
 
@@ -74,28 +79,94 @@ def _fields(data: bytes) -> Iterator[tuple[int, object]]:
             at += size
 
 
-class Normaliser:
-    """N: a table of arcs over runs of white space (U+2581 counts as such) and of other signs."""
-
-    def __init__(self, prefix: bool, collapse: bool):
-        lead = SPACE if prefix else ""
-        #: (state, run is white space) -> (state, what is written first, what of the run: all, one mark, a mark each, nothing)
-        self.arcs = {("start", False): ("word", lead, "all"), ("word", False): ("word", "", "all"), ("gap", False): ("word", SPACE, "all")}
-        if collapse:  # white space at the ends goes, a run between words is one mark, written with the word behind it
-            self.arcs |= {("start", True): ("start", "", ""), ("word", True): ("gap", "", "")}
-        else:
-            self.arcs |= {("start", True): ("word", lead, "each"), ("word", True): ("word", "", "each")}
+class Replacements:
+    """A model's table of character replacements: a double array over UTF-8, and the texts that its values point to.
 
-    def __call__(self, text: str) -> str:
-        state, out = "start", []
-        for run in RUNS.findall(text):
-            state, first, rest = self.arcs[state, run[0] in BLANK]
-            out += [first, run if rest == "all" else SPACE * len(run) if rest == "each" else ""]
-        return "".join(out)
+    A unit holds the byte that leads to it, the place of its children and whether a
+    word ends there; the child by a byte stands at that place with the byte's bits
+    turned over.  The array shares the ends of words, so it is walked as it is.
+    """
 
+    def __init__(self, table: bytes):
+        size = struct.unpack_from("<I", table)[0] if table else 0
+        self.units, self.texts = np.frombuffer(table, "<u4", size // 4, 4 if table else 0).tolist(), table[4 + size :]
+        self._said: dict[int, str] = {}
+
+    @staticmethod
+    def _children(at: int, unit: int) -> int:
+        return at ^ (unit >> 10 << ((unit & 512) >> 6))
+
+    def walk(self, text: str, start: int = 0) -> tuple[int, int, str | None]:
+        """How many characters the table has in a row, the end of the longest word, and what is written for it."""
+        units, end, value, stop = self.units, start, None, start
+        if not units:
+            return 0, start, None
+        at = self._children(0, units[0])
+        while stop < len(text):
+            for byte in text[stop].encode():
+                at ^= byte
+                unit = units[at] if at < len(units) else 0
+                if unit & 0x800000FF != byte:
+                    return stop - start, end, self._text(value)
+                at = self._children(at, unit)
+            stop += 1
+            if unit >> 8 & 1:
+                end, value = stop, units[at] & 0x7FFFFFFF
+        return stop - start, end, self._text(value)
+
+    def _text(self, value: int | None) -> str | None:
+        if value is not None and value not in self._said:
+            self._said[value] = self.texts[value : self.texts.index(0, value)].decode()
+        return None if value is None else self._said[value]
 
-def trie(words: dict[str, int]) -> dict:
-    """P: nodes are dicts from a character to a node; under the empty string, the number of the word that ends there."""
+
+class Normaliser:
+    """N: the longest user-defined piece or entry of the table at each place, then white space."""
+
+    def __init__(self, prefix: bool, collapse: bool, table: bytes, defined: list[str]):
+        self.lead, self.collapse = SPACE if prefix else "", collapse
+        self.table, self.defined = Replacements(table), trie({p: p for p in defined})
+        self.rewrites = bool(table or defined)
+        ascii_ = list(map(chr, range(128)))
+        single = {c for c in ascii_ if self.table.walk(c)[2] is not None}
+        second = {d for c in ascii_ if self.table.walk(c)[0] for d in ascii_ if self.table.walk(c + d)[0] == 2}
+        #: An ASCII text without any of these signs has no match: single ones, and the second signs of longer ones.
+        self.marks = single | second | {p[:2][-1] for p in defined}
+
+    def keeps(self, text: str) -> bool:
+        """Whether a text surely has no match."""
+        return not self.rewrites or text.isascii() and self.marks.isdisjoint(text)
+
+    def _units(self, text: str) -> list[str]:
+        if self.keeps(text):
+            return RUNS.findall(text) if self.collapse else [text]
+        out, at = [], 0
+        while at < len(text):
+            end, said = longest(self.defined, text, at)
+            if said is None:
+                _, end, said = self.table.walk(text, at)
+            if said is None:
+                end, said = at + 1, text[at]
+            out.append(said)
+            at = end
+        return out
+
+    def __call__(self, text: str) -> str:
+        if not text:
+            return ""
+        out, gap = [], self.collapse
+        for unit in self._units(text):
+            if gap:  # white space at the start and behind white space goes
+                unit = unit.lstrip(" ")
+            if unit:
+                out.append(unit)
+                gap = self.collapse and unit[-1] == " "
+        said = self.lead + "".join(out).replace(" ", SPACE)
+        return said.rstrip(SPACE) if self.collapse else said
+
+
+def trie(words: dict) -> dict:
+    """Nodes are dicts from a character to a node; under the empty string, what stands for the word that ends there."""
     root: dict = {}
     for word, number in words.items():
         node = root
@@ -105,6 +176,18 @@ def trie(words: dict[str, int]) -> dict:
     return root
 
 
+def longest(root: dict, text: str, start: int) -> tuple:
+    """The end of the longest word of a trie at a place of a text, and what stands for it (None: no word)."""
+    node, end, found = root, start, None
+    for at in range(start, len(text)):
+        node = node.get(text[at])
+        if node is None:
+            break
+        if "" in node:
+            end, found = at + 1, node[""]
+    return end, found
+
+
 class Transducer:
     """The composed machines of one model."""
 
@@ -123,23 +206,34 @@ class Transducer:
                 trainer = dict(_fields(value))
             elif number == 3:
                 normalizer = dict(_fields(value))
-        if normalizer.get(2):
-            raise ValueError("models with a table of character replacements aren't supported")
-        if DEFINED in kinds:
-            raise ValueError("models with user-defined pieces aren't supported")
         self.bpe = trainer.get(3, 1) == 2
+        if trainer.get(3, 1) not in (1, 2) or trainer.get(24, 0) or not normalizer.get(5, 1) or self.bpe and UNUSED in kinds:
+            raise ValueError("only unigram and BPE models are supported, with U+2581 before words, and BPE without unused pieces")
         self.prefix, self.collapse = bool(normalizer.get(3, 1)), bool(normalizer.get(4, 1))
-        self.unknown = kinds.index(UNKNOWN)
+        self.kinds, self.unknown = kinds, kinds.index(UNKNOWN)
+        defined = {p: i for i, (p, k) in enumerate(zip(self.pieces, kinds, strict=True)) if k == DEFINED}
         self.ids = {p: i for i, (p, k) in enumerate(zip(self.pieces, kinds, strict=True)) if k == NORMAL}
+        normal = [self.scores[i] for i in self.ids.values()]
+        self.unknown_cost = UNKNOWN_COST - min(normal, default=0.0)
+        every = [*self.ids, *defined]
+        if not self.bpe:
+            for p, i in defined.items():
+                self.scores[i] = len(p.encode()) * max([0.0, *normal]) - DEFINED_COST
+            self.ids |= defined
+        #: User-defined pieces that stand for themselves before anything is merged.
+        self.frozen = trie(defined) if self.bpe else {}
         self.bytes = {int(p[3:5], 16): i for i, (p, k) in enumerate(zip(self.pieces, kinds, strict=True)) if k == BYTE}
-        self.trie = trie(self.ids)
-        self.normalise = Normaliser(self.prefix, self.collapse)
-        self.text = [bytes([int(p[3:5], 16)]) if k == BYTE else " ⁇ ".encode() if k == UNKNOWN else b"" if k != NORMAL else p.replace(SPACE, " ").encode() for p, k in zip(self.pieces, kinds, strict=True)]
+        #: Characters that pieces have but that are none by themselves stand behind the pieces; they are unknown if they stay alone.
+        halves = sorted({c for p in self.ids for c in p} - self.ids.keys())
+        self.names, self.costs = self.pieces + halves, [-x for x in self.scores] + [self.unknown_cost] * len(halves)
+        self.trie = trie(self.ids | {c: len(self.pieces) + i for i, c in enumerate(halves)})
+        self.normalise = Normaliser(self.prefix, self.collapse, normalizer.get(2, b""), list(defined))
+        self.text = [bytes([int(p[3:5], 16)]) if k == BYTE else " ⁇ ".encode() if k == UNKNOWN else b"" if k == CONTROL else p.replace(SPACE, " ").encode() for p, k in zip(self.pieces, kinds, strict=True)]
         self._pair: dict[int, float] = {}
         #: Neighbours inside some piece.  Between two characters that never are, every path splits.
-        self.inside = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
+        self.inside = {p[i : i + 2] for p in every for i in range(len(p) - 1)}
         #: Whether every path splits before any run of U+2581, as it does unless a piece holds one behind another sign.
-        self.splits = not any(SPACE in p.lstrip(SPACE) for p in self.ids)
+        self.splits = not any(SPACE in p.lstrip(SPACE) for p in every)
         self._chunks: dict[str, bytes] = {}
         self._older: dict[str, bytes] = {}
         self._parts: dict[str, bytes] = {}
@@ -161,13 +255,13 @@ class Transducer:
     def arc(self, last: int, piece: int) -> float:
         """The cost in M of reading ``piece`` after ``last`` (-1: at the start; -2: a character without a piece)."""
         if not self.bpe:
-            return -self.scores[piece] if piece >= 0 else 1e4
+            return self.costs[piece] if piece >= 0 else self.unknown_cost
         if piece < 0 or last == -2:
-            return 0.0 if piece < 0 or self._merged(self.pieces[piece]) == [self.pieces[piece]] else inf
+            return 0.0 if piece < 0 or self._merged(self.names[piece]) == [self.names[piece]] else inf
         key = (last + 1) << 32 | piece
         cost = self._pair.get(key)
         if cost is None:
-            own = [self.pieces[piece]] if last < 0 else [self.pieces[last], self.pieces[piece]]
+            own = [self.names[piece]] if last < 0 else [self.names[last], self.names[piece]]
             cost = self._pair[key] = 0.0 if self._merged("".join(own)) == own else inf
         return cost
 
@@ -200,7 +294,7 @@ class Transducer:
                     cost[start + 1], last[start + 1], back[start + 1] = total, -2, start
         path, at = [], n
         while at:
-            if last[at] == -2:
+            if last[at] == -2 or last[at] >= len(self.pieces):
                 code = chunk[back[at] : at].encode()
                 path += [self.bytes[b] for b in reversed(code)] if self.bytes else [self.unknown]
             else:
@@ -229,26 +323,49 @@ class Transducer:
         if found is None:
             if len(self._parts) >= REMEMBERED:
                 self._parts.clear()
-            found = self._parts[part] = np.array(self.shortest(part), "<i4").tobytes()
+            ids, start, at = [], 0, 0
+            while self.frozen and at < len(part):
+                end, piece = longest(self.frozen, part, at)
+                if piece is not None:
+                    ids += [*self.shortest(part[start:at]), piece]
+                    start = end
+                at = max(end, at + 1)
+            found = self._parts[part] = np.array(ids + self.shortest(part[start:]), "<i4").tobytes()
         return found
 
     def packed(self, text: str) -> bytes:
         """Ids of a text, as little-endian 32-bit integers."""
         if not text:
             return b""
-        if self.prefix and self.splits and "  " not in text and text[0] != " " and text[-1] != " " and SPACE not in text:
+        if self.prefix and self.splits and "  " not in text and text[0] != " " and text[-1] != " " and SPACE not in text and self.bytes and self.normalise.keeps(text):
             return b"".join([self._chunks.get(c) or self._solved(c) for c in map(SPACE.__add__, text.split(" "))])
         text = self.normalise(text)
-        if not self.splits:
-            return self._solved(text) if text else b""
-        return b"".join(map(self._solved, re.findall(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+", text)))
+        chunks = re.findall(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+", text) if self.splits else [text] if text else []
+        found = b"".join(map(self._solved, chunks))
+        if self.bytes:
+            return found
+        ids = np.frombuffer(found, "<i4")  # neighbouring unknown characters are one
+        return ids[(ids != self.unknown) | (np.r_[-1, ids[:-1]] != self.unknown)].tobytes()
 
     def encode(self, text: str) -> list[int]:
         return np.frombuffer(self.packed(text), "<i4").tolist()
 
+    def lead(self, ids: list[int]) -> int:
+        """How many blanks at the start decoding takes off: the dummy prefix, or all where the model collapses them."""
+        off = 0
+        if self.prefix or self.collapse:
+            for k in ids:
+                if self.kinds[k] == CONTROL:
+                    continue
+                if self.kinds[k] in (BYTE, UNKNOWN) or self.pieces[k][:1] != SPACE:
+                    break
+                off += 1
+                if not self.collapse or self.pieces[k] != SPACE:
+                    break
+        return off
+
     def decode_bytes(self, ids: list[int]) -> bytes:
-        out = b"".join(map(self.text.__getitem__, ids))
-        return out[1:] if self.prefix and out[:1] == b" " and ids and self.pieces[ids[0]][:1] == SPACE else out
+        return b"".join(map(self.text.__getitem__, ids))[self.lead(ids) :]
 
     def decode(self, ids: list[int]) -> str:
         """Bytes that don't make UTF-8 become U+FFFD each."""
@@ -284,12 +401,12 @@ def _encoded(path: str):
                 off = np.zeros(b - a + 1, np.int32)
                 np.cumsum([len(p) // 4 for p in packed], out=off[1:])
                 values = np.frombuffer(b"".join(packed), "<i4")
-                every = list(map(own.text.__getitem__, values.tolist()))
+                listed = values.tolist()
+                every = list(map(own.text.__getitem__, listed))
                 same = []
                 for i, text in enumerate(part):
                     said = b"".join(every[off[i] : off[i + 1]])
-                    first = own.pieces[values[off[i]]] if off[i + 1] > off[i] else ""
-                    same.append((said[1:] if own.prefix and said[:1] == b" " and first[:1] == SPACE else said) == (text or "").encode())
+                    same.append(said[own.lead(listed[off[i] : off[i + 1]]) :] == (text or "").encode())
                 yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(np.diff(off).astype(np.int64)), pa.ListArray.from_arrays(pa.array(off), pa.array(values)), pa.array(same)], names=["doc_id", "n_ids", "ids", "decodes_back"])
 
     return run
@@ -299,12 +416,14 @@ def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", tex
     """doc_id, n_ids, ids (array of int) and decodes_back for each row of ``docs``.
 
     ``decodes_back``: the ids decode to the text itself (they don't where the text
-    has U+2581, or the model collapses white space).  A null text is empty and has
+    has U+2581, or the model replaces characters or collapses white space).  A null text is empty and has
     no ids.  A very long text is encoded whole, part by part, and takes some 20
     times its size.  Repeated rows are encoded alike, whatever their id.  Further
     columns are left out.  An empty table gives an empty result.
 
-    Models with a table of character replacements or with user-defined pieces
+    Unigram and BPE models are taken, with tables of character replacements,
+    user-defined pieces and byte fallback.  Models of words or characters, those
+    that put U+2581 behind words or keep blanks, and BPE models with unused pieces
     raise ``ValueError``.
     """
     if path is None:
