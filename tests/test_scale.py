@@ -36,3 +36,52 @@ def test_statistics_move_no_contents(spark, tmp_path):
     notes = spark.read.parquet(str(tmp_path / "n"))
     for df in (stats.database_stats(notes), stats.fingerprint(notes)):
         assert 0 < shuffled(df) < 2000 * 500
+
+
+def test_a_text_is_normalised_once_however_many_notes_have_it():
+    import pandas as pd
+
+    from tidelog.functions import text
+
+    seen = []
+    found = text._each_once(lambda t: seen.append(t) or t.lower(), pd.Series(["É", None, "É", "Ü", "É"], dtype=object))
+    assert found.dropna().to_dict() == {0: "é", 2: "é", 3: "ü", 4: "é"} and len(found) == 5 and sorted(seen) == ["É", "Ü"]
+    assert text._each_once(str.lower, pd.Series([None, None], dtype=object)).isna().all()
+
+
+def test_python_takes_texts_by_bytes(spark, sf):
+    """A batch holds no more than a bound, whatever the length of its texts."""
+    import pyarrow as pa
+
+    from tidelog.functions import text
+    from tidelog.plans import adapter
+
+    adapter.notes(spark, sf)
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"bytes": [batch.nbytes]})
+
+    long = spark.range(200, numPartitions=1).select(F.repeat(F.lit("ü"), 1 << 18).alias("t"))
+    assert max(r[0] for r in long.mapInArrow(sizes, "bytes long").collect()) < 4 * text.BATCH_BYTES
+
+
+def test_days_are_told_by_all_their_texts(spark):
+    from tidelog.operators import skipping
+
+    rows = [(day, f"common word{day} n{i % 3}") for i in range(60) for day in (3, 4)]
+    kept = skipping.sets(spark.createDataFrame([*rows, (4, None)], "unix_day long, search_text string").repartition(3))
+    assert skipping.days_with(kept, ["common"]) == [3, 4] and skipping.days_with(kept, ["word3"]) == [3]
+
+
+def test_equal_contents_take_room_once_a_day(spark, tmp_path):
+    """4000 notes of ten long contents, none next to another of its kind, are compacted to little."""
+    from tidelog import Store, StoreOptions
+
+    store = Store(spark, str(tmp_path / "s"), StoreOptions(verify=False, hot_max_bytes=1 << 40))
+    text = F.concat(*[F.sha2(F.concat((F.conv(F.substring("id", 1, 6), 16, 10) % 10).cast("string"), F.lit(f"/{i}")), 512) for i in range(40)])
+    store.append(some_notes(spark, 4000, 64).withColumns({"content": text, "created_at": F.col("created_at") % 86400}).repartition(4, "id"))
+    said = store.compact()
+    size = sum(f.stat().st_size for f in (tmp_path / "s" / "days_0").rglob("*.parquet"))
+    assert said.events == 4000 and store.days() == [0] and store.query({"search": "zz"}).count() == 0
+    assert size < 4000 * 500  # two columns of 5120 bytes a note
