@@ -85,3 +85,35 @@ def test_equal_contents_take_room_once_a_day(spark, tmp_path):
     size = sum(f.stat().st_size for f in (tmp_path / "s" / "days_0").rglob("*.parquet"))
     assert said.events == 4000 and store.days() == [0] and store.query({"search": "zz"}).count() == 0
     assert size < 4000 * 500  # two columns of 5120 bytes a note
+
+
+def test_a_dump_passes_the_driver_in_chunks(spark, tmp_path, monkeypatch):
+    """Written and cut in pieces much smaller than the whole."""
+    from tidelog.sources import files, notes
+
+    monkeypatch.setattr(files, "CHUNK", 1 << 14)
+    some_notes(spark, 500, 256).write.parquet(str(tmp_path / "n"))
+    held = []
+
+    class Out:
+        def write(self, data):
+            held.append(bytes(data))
+
+    assert notes.write_dump(spark.read.parquet(str(tmp_path / "n")), Out(), str(tmp_path / "lines"), "<") == 500
+    assert max(map(len, held)) < 1 << 16 and not (tmp_path / "lines").exists()
+    (tmp_path / "whole").write_bytes(b"".join(held))
+    parts = notes.split_dump(spark, str(tmp_path / "whole"), str(tmp_path / "cut"), 1 << 16, "<")
+    assert len(parts) > 3 and b"".join((tmp_path / "cut" / p[-6:]).read_bytes() for p in parts) == b"".join(held)
+    good, bad = notes.read_dump(spark, parts, False, "<")
+    assert good.select("id").distinct().count() == 500 and bad.count() == 0
+
+
+def test_a_dump_moves_contents_once(spark, tmp_path):
+    from tidelog import Store, StoreOptions
+
+    store = Store(spark, str(tmp_path / "s"), StoreOptions(verify=False, hot_max_bytes=1 << 40))
+    store.append(some_notes(spark))
+    found = store._visible_notes()
+    assert shuffled(found) < 1.6 * 2000 * 1000 and found.count() == 2000
+    at = [r["created_at"] for r in found.select("created_at").collect()]
+    assert at == sorted(at, reverse=True)
