@@ -117,3 +117,51 @@ def test_a_dump_moves_contents_once(spark, tmp_path):
     assert shuffled(found) < 1.6 * 2000 * 1000 and found.count() == 2000
     at = [r["created_at"] for r in found.select("created_at").collect()]
     assert at == sorted(at, reverse=True)
+
+
+def test_search_texts_are_made_without_python(spark, sf):
+    """Texts that aren't ASCII only, too, for the table of texts as well as for one and for many filters."""
+    from tidelog.functions import text
+    from tidelog.operators import query
+    from tidelog.plans import adapter
+    from tidelog.plans.filters import parse_filters
+
+    notes = adapter.notes(spark, sf)
+    found = [query.run(notes, parse_filters(f)) for f in ({"search": "ther"}, {"search": "Über"}, [{"kinds": [1], "limit": 3}, {"search": "headline", "limit": 3}])]
+    for df in (notes.select(text.search_text().alias("t")), *found):
+        assert "Python" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_normal_form_of_every_sign(spark):
+    """All that Python's Unicode has, alone and next to white space, against Python's own functions."""
+    import unicodedata
+
+    from tidelog.functions import text
+
+    signs = [chr(i) for i in range(0x110000) if unicodedata.category(chr(i)) not in ("Cn", "Cs")]
+    texts = [text.FIELD_END.join(f"{c}a {c}{c} \u1680b{c}" for c in signs[i : i + 100]) for i in range(0, len(signs), 100)]
+    texts += [f" \t{t}\u2028 " for t in texts[:40]]
+    rows = spark.createDataFrame(list(enumerate(texts)), "n int, t string").select("n", text.normalised(F.col("t")).alias("whole"), text.folded(F.col("t")).alias("folded")).collect()
+    for row in rows:
+        want = "".join(c.lower() for c in unicodedata.normalize("NFKC", texts[row["n"]]))
+        assert row["folded"] == want and row["whole"] == text._RUN.sub(" ", want).strip(" ") == text.normalise(texts[row["n"]])
+    assert len(rows) == len(texts) > 2900
+
+
+def test_terms_and_texts_know_the_same_signs(spark):
+    """Letters that Spark's ICU has and Python 3.13 has not."""
+    from tidelog.operators import query
+    from tidelog.plans.filters import parse_filters
+
+    newer = "\U0001ccd6\U0001ccd7"  # outlined A and B
+    notes = some_notes(spark, 3).withColumn("content", F.concat(F.lit(f"é {newer}"), F.col("created_at").cast("string")))
+    for search in ("ab", "AB100", newer, f"É {newer}200"):
+        assert query.run(notes, parse_filters({"search": search})).count() == (1 if "00" in search else 3)
+
+
+def test_conditions_reach_the_scan_below_a_search_text(spark, tmp_path):
+    from tidelog.functions import text
+
+    some_notes(spark, 10).write.parquet(str(tmp_path / "n"))
+    made = spark.read.parquet(str(tmp_path / "n")).select("id", "created_at", text.search_text().alias("search_text"))
+    assert "GreaterThan(created_at,500)" in made.where("created_at > 500")._jdf.queryExecution().executedPlan().toString()
