@@ -165,3 +165,52 @@ def test_conditions_reach_the_scan_below_a_search_text(spark, tmp_path):
     some_notes(spark, 10).write.parquet(str(tmp_path / "n"))
     made = spark.read.parquet(str(tmp_path / "n")).select("id", "created_at", text.search_text().alias("search_text"))
     assert "GreaterThan(created_at,500)" in made.where("created_at > 500")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_notes_of_filters_without_terms_join_no_visibility(spark, tmp_path):
+    """Of 2000 notes that only a filter with a limit matches, no more than the limit leaves a partition."""
+    from tidelog.operators import query
+    from tidelog.plans.filters import parse_filters
+
+    some_notes(spark).write.parquet(str(tmp_path / "n"))
+    found = query.run(spark.read.parquet(str(tmp_path / "n")), parse_filters([{"kinds": [1], "limit": 3}, {"kinds": [2], "search": "x", "limit": 3}]))
+    assert shuffled(found.select("id", "pubkey", "created_at", "kind")) < 2000 * 10
+    assert [r["created_at"] for r in found.collect()] == [199900, 199800, 199700]
+
+
+def test_rules_of_made_notes_read_no_documents(spark, sf):
+    from tidelog.plans import adapter
+
+    made = adapter.rules(spark, sf)
+    for table in (made.addresses, made.deletions):
+        plan = table._jdf.queryExecution().executedPlan().toString()
+        assert "events.parquet" in plan and "documents.parquet" not in plan
+
+
+def test_a_document_is_folded_once_for_all_its_notes(spark, sf):
+    """Contents travel folded, not as they are, and the same notes are found."""
+    from tidelog.functions import text
+    from tidelog.operators import query
+    from tidelog.plans import adapter
+    from tidelog.plans.filters import parse_filters
+
+    once, each = adapter.notes(spark, sf, True), adapter.notes(spark, sf)
+    assert text.FOLDED in once.columns and text.FOLDED not in each.columns
+    for search in ("ÜBER", "headline1 ther"):
+        ids = [query.run(n, parse_filters({"search": search})).select("id") for n in (once, each)]
+        assert sorted(r["id"] for r in ids[0].collect()) == sorted(r["id"] for r in ids[1].collect())
+    texts = [n.select("id", t.alias("t")) for n, t in ((once, text.matchable_text(F.col(text.FOLDED))), (each, text.matchable_text()))]
+    assert texts[0].exceptAll(texts[1]).count() == 0 == texts[1].exceptAll(texts[0]).count()
+
+
+def test_folded_contents_make_the_same_texts(spark):
+    """Bodies and titles that would be composed with their neighbours, missing ones, and profiles."""
+    from tidelog.functions import text
+
+    odd = ["\u0301E", "E\u0301 ", "ΣΑΣ", "\u0130", "", None, "A \u1680\u2028b"]
+    rows = [(kind, body, [["title", title], ["summary", "\u0301x"]] if title is not None else []) for kind in (1, 30023) for body in odd for title in odd]
+    rows += [(0, body, []) for body in ('{"name":"É\u0301","n":1}', "not JSON", None)]
+    notes = spark.createDataFrame(rows, "kind long, content string, tags array<array<string>>")
+    kept = notes.withColumn(text.FOLDED, F.when(F.col("kind") == 0, F.col("content")).otherwise(text.folded(F.col("content"))))
+    got = kept.select(text.matchable_text(F.col(text.FOLDED)).alias("a"), text.matchable_text().alias("b")).collect()
+    assert len(got) == len(rows) and all(r["a"] == r["b"] is not None for r in got)
